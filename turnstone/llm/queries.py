@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import nearest, split, tokens
+from turnstone.llm import nearest, split, tokens, turns
 from turnstone.session import current_rows, table
 
 
+def _turns(spark: SparkSession, sf_dir: str, pause_share: float | None = None) -> DataFrame:
+    columns = ["seg_id", "source_id", "text", "start", "duration", "speaker", "ingested_at"]
+    segments = current_rows(table(spark, sf_dir, "transcript_segment").select(*columns), "seg_id")
+    return turns.speaker_turns(segments, table(spark, sf_dir, "speaker_roster"), pause_share)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _turns(spark, sf_dir).filter("speaker_id IS NOT NULL")
+    return found.select("source_id", "first_seg_id", "last_seg_id", "speaker_id")
+
+
+def p1_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean turns with their text, split at calibrated pauses too."""
+    return _turns(spark, sf_dir, pause_share=0.98)
+
+
 def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = current_rows(table(spark, sf_dir, "visual_frame").select("frame_id", "source_id", "timestamp", "ingested_at"), "frame_id")
     segments = current_rows(table(spark, sf_dir, "transcript_segment").select("seg_id", "source_id", "start", "ingested_at"), "seg_id")
@@ -72,6 +88,8 @@ def p7_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_turns": p1_turns,
     "p2_found": p2_found,
     "p2_distances": p2_distances,
     "p4_found": p4_found,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import nearest, split, tokens, turns
+from turnstone.llm import nearest, neardup, split, tokens, turns
 from turnstone.session import current_rows, table
 
 
@@ -51,6 +51,45 @@ QUALIFY row_number() OVER (PARTITION BY f.frame_id ORDER BY abs(f.t - s.t), s.t,
 """
 
 
+#: Likeness as the problem states it for this data; elsewhere five words and 0.8 are the default.
+TRANSCRIPTS = neardup.Likeness("word", 3, 0.5, min_words=20)
+TITLES = neardup.Likeness("char", 3, 0.6)
+
+
+def _near(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, DataFrame]]:
+    return {
+        "transcript": neardup.near_duplicates(table(spark, sf_dir, "raw_transcript"), "transcript_id", "raw_text", TRANSCRIPTS),
+        "title": neardup.near_duplicates(table(spark, sf_dir, "source_item"), "item_id", "title", TITLES),
+    }
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (neardup.all_pairs(*x).select(F.lit(kind).alias("kind"), "id_a", "id_b") for kind, x in _near(spark, sf_dir).items())
+    return a.unionByName(b)
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per record: its class of copies, its links to other texts, its group."""
+    a, b = (neardup.groups(*x).withColumn("kind", F.lit(kind)) for kind, x in _near(spark, sf_dir).items())
+    return a.unionByName(b)
+
+
+_P3 = """
+WITH t AS (SELECT 'transcript' AS kind, transcript_id AS id, any_value(raw_text) AS x FROM raw_transcript GROUP BY 2
+           UNION ALL SELECT 'title', item_id, any_value(title) FROM source_item GROUP BY 2),
+w AS (SELECT kind, id, regexp_extract_all(lower(x), '[\\p{L}\\p{N}]+') AS w FROM t WHERE x IS NOT NULL),
+j AS (SELECT kind, id, w, array_to_string(w, ' ') AS s FROM w),
+g AS (SELECT kind, id, unnest(list_distinct(CASE WHEN kind = 'title'
+        THEN list_transform(range(1, length(s) - 1), lambda i: substring(s, i, 3))
+        ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' ')) END)) AS g
+      FROM j WHERE kind = 'title' OR len(w) >= 20),
+n AS (SELECT kind, id, count(*) AS n FROM g GROUP BY 1, 2),
+c AS (SELECT a.kind, a.id AS id_a, b.id AS id_b, count(*) AS shared FROM g a JOIN g b ON a.kind = b.kind AND a.g = b.g AND a.id < b.id GROUP BY 1, 2, 3)
+SELECT c.kind, id_a, id_b FROM c JOIN n x ON c.kind = x.kind AND id_a = x.id JOIN n y ON c.kind = y.kind AND id_b = y.id
+WHERE shared >= (x.n + y.n - shared) * CASE WHEN c.kind = 'title' THEN 0.6 ELSE 0.5 END
+"""
+
+
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_items(table(spark, sf_dir, "retrieval_chunk"))
 
@@ -92,6 +131,8 @@ QUERIES = {
     "p1_turns": p1_turns,
     "p2_found": p2_found,
     "p2_distances": p2_distances,
+    "p3_found": p3_found,
+    "p3_groups": p3_groups,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p7_ids": p7_ids,
@@ -101,5 +142,6 @@ QUERIES = {
 ORACLE = {
     "p2_found": _P2.format(more=""),
     "p2_distances": _P2.format(more=", abs(f.t - s.t) AS distance_us"),
+    "p3_found": _P3,
     "p4_found": _P4,
 }

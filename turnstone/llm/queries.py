@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import nearest, neardup, split, tokens, turns
+from turnstone.llm import nearest, neardup, quality, split, tokens, turns
 from turnstone.session import current_rows, table
 
 
@@ -126,6 +126,19 @@ def p7_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("ids").alias("n_tokens"), (tokens.text_of("ids") == F.coalesce("text", F.lit(""))).alias("same"))
 
 
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common = quality.common_words(table(spark, sf_dir, "common_word"))
+    return quality.score(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", common)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir).filter("kind <> 'prose'").select("doc_id", "kind")
+
+
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir)
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_turns": p1_turns,
@@ -137,6 +150,8 @@ QUERIES = {
     "p4_pieces": p4_pieces,
     "p7_ids": p7_ids,
     "p7_roundtrip": p7_roundtrip,
+    "p9_found": p9_found,
+    "p9_statistics": p9_statistics,
 }
 
 ORACLE = {

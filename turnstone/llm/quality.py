@@ -11,12 +11,15 @@ from __future__ import annotations
 import re
 from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from turnstone.session import cut_lineage
+
 #: Statistics that are sketched, with the smallest scale a z-score assumes.
 SKETCHED = {"n_words": 5.0, "mean_word_length": 0.5, "symbol_ratio": 0.03, "punct_line_share": 0.15, "common_share": 0.05, "readable_share": 0.05, "distinct_share": 0.1}
 #: Labels beyond these share one sketch, so that there are at most this many and two more.
@@ -36,6 +39,8 @@ _MARK = re.compile(
 _HTML_ROW = re.compile(r"^\s*</?(?:table|thead|tbody|tr|td|th)\b", re.I)
 _RULE = re.compile(r"^[\s|+:=-]+$")
 _NUMBER = re.compile(r"^[+-]?[\d.,:%/$€£-]*\d[\d.,:%/$€£-]*$")
+_ALNUM = re.compile(r"[^\W_]")
+_NO_ALNUM = re.compile(r"[\W_]+")
 _VOWEL = re.compile("[aeiouyáàâäãåæéèêëíìîïóòôöõøœúùûüýÿаеёиоуыэюяіїє]")
 _CLUSTER = re.compile("[bcdfghjklmnpqrstvwxzßçñбвгджзклмнпрстфхцчшщ]{6,}")
 #: Letters with the marks, joiners and hyphens that stand inside words.
@@ -63,11 +68,23 @@ def readable(token: str) -> bool | None:
     return True
 
 
+#: What a separator shows as, how a line is split by it, least cells, and whether most rows must hold a number.
+_SEPARATORS = (
+    ("\t", lambda x: x.split("\t"), 2, False),
+    ("|", lambda x: x.strip().strip("|").split("|"), 2, False),
+    ("  ", lambda x: re.split(r"\s{2,}|\t", x.strip()), 2, False),
+    (";", lambda x: x.split(";"), 2, True),
+    (",", lambda x: x.split(","), 2, True),
+)
+
+
 def _columns(lines: list[str]) -> list[bool]:
     """Which lines are rows of the same columns as others."""
     n = len(lines)
     row = [bool(_HTML_ROW.match(x)) for x in lines]
-    for split, least, numeric in ((lambda x: x.split("\t"), 2, False), (lambda x: x.strip().strip("|").split("|"), 2, False), (lambda x: re.split(r"\s{2,}|\t", x.strip()), 2, False), (lambda x: x.split(";"), 2, True), (lambda x: x.split(","), 2, True)):
+    for mark, split, least, numeric in _SEPARATORS:
+        if sum(mark in x for x in lines) < 2:
+            continue
         cells = [[c.strip() for c in split(x)] for x in lines]
         counts = Counter(len(c) for c in cells if len(c) >= least)
         if not counts:
@@ -94,11 +111,11 @@ def _is_item(line: str) -> bool:
     n = len(body.split())
     if m:
         return n <= 8 and not body.endswith(_SENTENCE_END)
-    return n <= 5 and not body.endswith((*_SENTENCE_END, ":", ",")) and any(c.isalnum() for c in body)
+    return n <= 5 and not body.endswith((*_SENTENCE_END, ":", ",")) and bool(_ALNUM.search(body))
 
 
-def measure(text: str | None, common: dict[str, frozenset[str]]) -> dict | None:
-    """All statistics of one text; None for null and blank texts."""
+def measure(text: str | None, common: dict[str, tuple[str, ...]]) -> dict | None:
+    """All statistics of one text; None for null and blank texts. ``common``: the languages of each frequent word."""
     if text is None:
         return None
     text = _INVISIBLE.sub("", text)
@@ -108,16 +125,18 @@ def measure(text: str | None, common: dict[str, frozenset[str]]) -> dict | None:
     words = [w.lower() for w in _WORD.findall(text)]
     tokens = text.split()
     seen = [r for r in map(readable, tokens) if r is not None]
-    alnum = sum(c.isalnum() for c in text)
-    solid = sum(not c.isspace() for c in text)
-    grams = [tuple(tokens[i : i + 3]) for i in range(len(tokens) - 2)]
+    alnum = len(_NO_ALNUM.sub("", text))
+    solid = sum(map(len, tokens))
+    n_grams = len(tokens) - 2
+    distinct = len(set(zip(tokens, tokens[1:], tokens[2:]))) / n_grams if n_grams >= 10 else 1.0
+    hits = Counter(chain.from_iterable(common[w] for w in words if w in common))
     row = _columns(lines)
     n_row = sum(row)
     n_item = n_junk = 0
     for line, is_row in zip(lines, row):
         if is_row:
             continue
-        if not any(c.isalnum() for c in line):
+        if not _ALNUM.search(line):
             n_junk += 1
         elif _is_item(line):
             n_item += 1
@@ -126,9 +145,9 @@ def measure(text: str | None, common: dict[str, frozenset[str]]) -> dict | None:
         "mean_word_length": sum(map(len, words)) / len(words) if words else 0.0,
         "symbol_ratio": 1 - alnum / solid,
         "punct_line_share": sum(x.rstrip().endswith(_ENDS) for x in lines) / len(lines),
-        "common_share": max((sum(w in s for w in words) for s in common.values()), default=0) / len(words) if words else 0.0,
+        "common_share": max(hits.values()) / len(words) if hits else 0.0,
         "readable_share": sum(seen) / len(seen) if seen else (1.0 if n_row * 2 > len(lines) else 0.0),
-        "distinct_share": len(set(grams)) / len(grams) if len(grams) >= 10 else 1.0,
+        "distinct_share": distinct,
         "n_lines": len(lines),
         "n_item_lines": n_item,
         "n_row_lines": n_row,
@@ -140,7 +159,7 @@ STATS = T.StructType([T.StructField(k, T.LongType() if k.startswith("n_") else T
 _ARROW = pa.struct([(f.name, pa.int64() if f.name.startswith("n_") else pa.float64()) for f in STATS.fields])
 
 
-def statistics(text: Column, common: dict[str, frozenset[str]]) -> Column:
+def statistics(text: Column, common: dict[str, tuple[str, ...]]) -> Column:
     """Struct column of the statistics; null for null and blank texts."""
 
     @F.arrow_udf(STATS)
@@ -150,15 +169,15 @@ def statistics(text: Column, common: dict[str, frozenset[str]]) -> Column:
     return stats(text)
 
 
-def common_words(words: DataFrame, most: int = 100_000) -> dict[str, frozenset[str]]:
-    """The vocabulary table on the driver; refuses one of more than ``most`` rows."""
-    rows = words.filter("lang IS NOT NULL AND word IS NOT NULL").select("lang", "word").limit(most + 1).collect()
+def common_words(words: DataFrame, most: int = 100_000) -> dict[str, tuple[str, ...]]:
+    """The languages of each word of the vocabulary table, on the driver; refuses a table of more than ``most`` rows."""
+    rows = words.filter("lang IS NOT NULL AND word IS NOT NULL").select("lang", F.lower("word").alias("word")).distinct().limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} common words")
-    out: dict[str, set[str]] = {}
-    for r in rows:
-        out.setdefault(r["lang"], set()).add(r["word"].lower())
-    return {k: frozenset(v) for k, v in out.items()}
+    out: dict[str, tuple[str, ...]] = {}
+    for r in sorted(rows):
+        out[r["word"]] = (*out.get(r["word"], ()), r["lang"])
+    return out
 
 
 def _language(lang: Column) -> Column:
@@ -173,7 +192,7 @@ def sketches(measured: DataFrame) -> DataFrame:
     return per.unionByName(both.select(F.lit("*").alias("lang"), "n", *SKETCHED))
 
 
-def score(df: DataFrame, doc_id: str, text: str, lang: str, common: dict[str, frozenset[str]]) -> DataFrame:
+def score(df: DataFrame, doc_id: str, text: str, lang: str, common: dict[str, tuple[str, ...]]) -> DataFrame:
     """One row per document: its statistics, percentiles, robust z-scores, flags and ``kind``.
 
     ``kind`` is 'prose', 'list', 'table', 'junk', or null for null and blank texts. ``tails`` names the statistics in
@@ -181,6 +200,8 @@ def score(df: DataFrame, doc_id: str, text: str, lang: str, common: dict[str, fr
     mostly hold no letter or digit; otherwise a text is what most of its lines are. Repeated rows are kept as they are.
     """
     rows = df.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{lang}`").alias("l"), statistics(F.col(f"`{text}`"), common).alias("s")).withColumn("lang", _language(F.col("l")))
+    # Measured once and written without the texts: the sketches and the scores both read it.
+    rows = cut_lineage(rows)
     real = rows.filter("s IS NOT NULL")
     # Labels are folded into a bounded number of languages, the most frequent ones; so the sketch table is bounded too.
     known = [r["lang"] for r in real.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
@@ -190,6 +211,7 @@ def score(df: DataFrame, doc_id: str, text: str, lang: str, common: dict[str, fr
     ranks = F.array(*[F.lit(i / 100) for i in range(101)])
     grid = table.select("lang", "n", *[F.kll_sketch_get_quantile_double(F.col(k), ranks).alias(f"q_{k}") for k in SKETCHED])
     own = grid.filter(f"n >= {LEAST_DOCUMENTS} OR lang = '*'").filter("lang <> 'und'")
+    own = cut_lineage(own)
     listed = [r["lang"] for r in own.select("lang").collect()]
     key = F.when(F.col("lang").isin(listed), F.col("lang")).otherwise(F.lit("*"))
     rows = rows.withColumn("key", key).join(F.broadcast(own.withColumnRenamed("lang", "key").drop("n")), "key", "left")

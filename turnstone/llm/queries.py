@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import nearest, neardup, quality, split, tokens, turns
+from turnstone.llm import mix, nearest, neardup, quality, split, tokens, turns
 from turnstone.session import current_rows, table
 
 
@@ -126,6 +126,22 @@ def p7_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("ids").alias("n_tokens"), (tokens.text_of("ids") == F.coalesce("text", F.lit(""))).alias("same"))
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mix.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1].filter("short").select("source")
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1]
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[0]
+
+
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     common = quality.common_words(table(spark, sf_dir, "common_word"))
     return quality.score(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", common)
@@ -150,6 +166,9 @@ QUERIES = {
     "p4_pieces": p4_pieces,
     "p7_ids": p7_ids,
     "p7_roundtrip": p7_roundtrip,
+    "p8_found": p8_found,
+    "p8_report": p8_report,
+    "p8_rates": p8_rates,
     "p9_found": p9_found,
     "p9_statistics": p9_statistics,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import mix, nearest, neardup, quality, split, tokens, turns
+from turnstone.llm import language, mix, nearest, neardup, quality, split, tokens, turns
 from turnstone.session import current_rows, table
 
 
@@ -115,6 +115,31 @@ SELECT chunk_id, CASE WHEN longest > 150 THEN 'forced' ELSE 'natural' END AS cut
 """
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "raw_transcript").select("transcript_id", "language_code", "raw_text")
+    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("language_code"), F.col("text").alias("raw_text"))
+    labelled = rows.select("language_code", "raw_text").unionByName(docs)
+    model = language.fit_on(labelled, "raw_text", "language_code", table(spark, sf_dir, "common_word"))
+    found = language.detect(rows.dropDuplicates(["transcript_id"]), "transcript_id", "raw_text", model)
+    return found.withColumn("named", language.named_language("language_code"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _languages(spark, sf_dir).filter("d IS NOT NULL")
+    main = F.col("d.language")
+    label = F.when(F.col("named").isNull(), "missing").when(F.col("named") != main, "wrong")
+    others = F.array_distinct(F.transform("d.segments", lambda s: s["language"]))
+    mixed = F.when(F.size(F.array_remove(others, main)) > 0, F.array_union(F.array(main), others))
+    row = lambda kind, lang: F.struct(kind.alias("kind"), lang.alias("language"))
+    rows = F.concat(F.array(row(label, main)), F.transform(F.coalesce(mixed, F.array().cast("array<string>")), lambda x: row(F.lit("mixed"), x)))
+    return found.select("transcript_id", F.explode(rows).alias("r")).select("transcript_id", "r.kind", "r.language").filter("kind IS NOT NULL")
+
+
+def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, confidence, ambiguity and stretches of every transcript."""
+    return _languages(spark, sf_dir).select("transcript_id", "d.language", "d.confidence", "d.ambiguous", "d.n_words", "d.segments")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.encode_corpus(docs).select("doc_id", "ids")
@@ -164,6 +189,8 @@ QUERIES = {
     "p3_groups": p3_groups,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_languages": p5_languages,
     "p7_ids": p7_ids,
     "p7_roundtrip": p7_roundtrip,
     "p8_found": p8_found,

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from turnstone.plans import interval_queries
+from turnstone.plans import interval_queries, transcript_queries
 
-_MODULES = [interval_queries]
-FLAGSHIP = "p6_found"
+_MODULES = [transcript_queries, interval_queries]
+FLAGSHIP = "quality_by_language"
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

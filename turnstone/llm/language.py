@@ -206,10 +206,10 @@ def path(loss: np.ndarray, switch: float = SWITCH) -> list[tuple[int, int, int]]
     """The cheapest path through the columns of ``loss``, where changing the column costs ``switch``."""
     n, k = loss.shape
     best = int(loss.sum(axis=0).argmin())
-    # No stretch of any language saves more than one change costs: then the best single language is the path.
+    # c changes bound c + 1 stretches: if no stretch saves more than half of what a change costs, none pays.
     saved = np.cumsum(loss[:, best, None] - loss, axis=0, dtype=np.float64)
     low = np.minimum(np.minimum.accumulate(saved, axis=0), 0.0)
-    if (saved - low).max() <= switch:
+    if 2 * (saved - low).max() <= switch:
         return [(best, 0, n)]
     back = np.empty((n, k), np.int16)
     cost = loss[0].astype(np.float64)
@@ -297,10 +297,10 @@ def fit_on(labelled: DataFrame, text: str, code: str, seeds: DataFrame | None =
 
 
 def detect(df: DataFrame, item_id: str, text: str, model: Model) -> DataFrame:
-    """``item_id`` with ``d``: language, confidence, ambiguous, n_words, segments; null for texts without words.
+    """``item_id, d``: language, confidence, ambiguous, n_words, segments; ``d`` is null for texts without words.
 
-    Every row is judged by its whole text. Null, empty, wordless texts give null; repeated rows stay; other columns
-    of ``df`` are kept.
+    Every row is judged by its whole text. Null, empty, wordless texts give null; repeated rows stay; an empty table
+    gives an empty result; other columns are left out, whatever their names.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # fixed size: BUCKETS x BITS floats
 
@@ -308,4 +308,4 @@ def detect(df: DataFrame, item_id: str, text: str, model: Model) -> DataFrame:
     def judge(texts: pa.Array) -> pa.Array:
         return pa.array([describe(t, shared.value) for t in texts.to_pylist()], _ARROW)
 
-    return df.withColumn("d", judge(F.col(f"`{text}`")))
+    return df.select(F.col(f"`{item_id}`"), judge(F.col(f"`{text}`")).alias("d"))

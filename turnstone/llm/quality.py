@@ -42,7 +42,7 @@ _NUMBER = re.compile(r"^[+-]?[\d.,:%/$€£-]*\d[\d.,:%/$€£-]*$")
 _ALNUM = re.compile(r"[^\W_]")
 _NO_ALNUM = re.compile(r"[\W_]+")
 _VOWEL = re.compile("[aeiouyáàâäãåæéèêëíìîïóòôöõøœúùûüýÿаеёиоуыэюяіїє]")
-_CLUSTER = re.compile("[bcdfghjklmnpqrstvwxzßçñбвгджзклмнпрстфхцчшщ]{6,}")
+_CLUSTER = re.compile("[bcdfghjklmnpqrstvwxzßçñбвгджзклмнпрстфхцчшщ]{7,}")
 #: Letters with the marks, joiners and hyphens that stand inside words.
 _LETTERS = re.compile(r"(?:[^\W\d]|['’‘\-./@\u0900-\u0dff\u0300-\u036f\u200c\u200d])+")
 

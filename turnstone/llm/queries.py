@@ -120,8 +120,9 @@ def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("language_code"), F.col("text").alias("raw_text"))
     labelled = rows.select("language_code", "raw_text").unionByName(docs)
     model = language.fit_on(labelled, "raw_text", "language_code", table(spark, sf_dir, "common_word"))
-    found = language.detect(rows.dropDuplicates(["transcript_id"]), "transcript_id", "raw_text", model)
-    return found.withColumn("named", language.named_language("language_code"))
+    once = rows.dropDuplicates(["transcript_id"]).select(F.struct("transcript_id", "language_code").alias("row"), "raw_text")
+    found = language.detect(once, "row", "raw_text", model)
+    return found.select("row.transcript_id", language.named_language("row.language_code").alias("named"), "d")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,8 +111,11 @@ def ngrams(tokens: Column, n: int) -> Column:
     """Runs of ``n`` successive tokens, joined by blanks; empty where there are fewer."""
 
     def grams(t: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(t) - n, F.lit(0))), lambda i: i <= F.size(t) - n)
-        return F.transform(at, lambda i: F.array_join(F.slice(t, i + 1, n), " "))
+        k = F.greatest(F.size(t) - (n - 1), F.lit(0))
+        out = F.slice(t, F.lit(1), k)
+        for i in range(2, n + 1):
+            out = F.zip_with(out, F.slice(t, F.lit(i), k), lambda a, b: F.concat(a, F.lit(" "), b))
+        return out
 
     return let(tokens, grams)
 

@@ -10,11 +10,11 @@ from turnstone.functions import text as X
 from turnstone.operators import captions as C
 from turnstone.operators import dedup as D
 from turnstone.operators import gates as G
-from turnstone.session import table
+from turnstone.session import spread, table
 
 
 def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "raw_transcript")
+    return spread(table(spark, sf_dir, "raw_transcript"))
 
 
 def text_measures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, bytes_per_core: int = 8 << 20) -> DataFrame:
+    """``df`` dealt out to all cores if it is small, else as it is.
+
+    A small table is one file and one task; before work that costs far more than moving the rows, an even deal uses
+    the whole cluster. The planner's size estimate decides, nothing is executed.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * bytes_per_core else df
+
+
 def current_rows(df: DataFrame, key: str | list[str], version: str = "ingested_at") -> DataFrame:
     """One row per key: the one with the latest ``version`` (nulls are oldest).
 

@@ -53,7 +53,7 @@ def spread(df: DataFrame, bytes_per_core: int = 8 << 20) -> DataFrame:
     the whole cluster. The planner's size estimate decides, nothing is executed.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * bytes_per_core else df
 
 

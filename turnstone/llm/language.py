@@ -132,7 +132,7 @@ class Model:
         return self.table[[known[w] for w in words]]
 
 
-def fit(samples: list[tuple[list[str], str]], languages: list[str], seeds: dict[str, list[str]] | None = None, rounds: int = 40, passes: int = 2) -> Model:
+def fit(samples: list[tuple[list[str], str]], languages: list[str], seeds: dict[str, list[str]] | None = None, rounds: int = 24, passes: int = 2) -> Model:
     """Classifiers from labelled word lists. After each pass but the last, the samples' stretches are labelled anew.
 
     ``seeds``: words that are known to belong to a language; they join every pass.
@@ -153,7 +153,7 @@ def fit(samples: list[tuple[list[str], str]], languages: list[str], seeds: dict[
             if x in index:
                 for w in words:
                     counts.setdefault(w.lower(), np.zeros(len(languages)))[index[x]] += 5
-        model = _fit_words(counts, codes, languages, rounds)
+        model = _fit_words(counts, codes, languages, rounds if p == passes - 1 else rounds // 2)  # the first only cleans labels
         if p < passes - 1:
             units = [(words[a:b], i) for words, _ in units for i, a, b in stretches(words, model)]
     return model

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstone.session import cut_lineage
+from turnstone.session import cut_lineage, spread
 
 _WORDS = regex.compile(r"[\p{L}\p{N}]+")
 
@@ -121,7 +121,7 @@ def classes(df: DataFrame, record_id: str, text: str, like: Likeness) -> tuple[D
         return pa.array(out, pa.string())
 
     rows = df.select(F.col(f"`{record_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).dropna()
-    keyed = rows.withColumn("key", key("text")).filter("key IS NOT NULL")
+    keyed = spread(rows).withColumn("key", key("text")).filter("key IS NOT NULL")
     reps = keyed.groupBy("key").agg(F.min("id").alias("rep"), F.min_by("text", "id").alias("text"))
     members = cut_lineage(keyed.select("id", "key").distinct().join(reps.select("key", "rep"), "key").groupBy("id").agg(F.min("rep").alias("rep")))
     return members, reps.select("rep", "text")
@@ -142,7 +142,7 @@ def links(reps: DataFrame, like: Likeness, records: int) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(grams, pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int64()))], names=["grams", "bands"])
 
     # Signed once and written: the band table is read by both sides of the self-join, the sets by the verification.
-    signed = cut_lineage(reps.select("rep", sign("text").alias("s")).select("rep", "s.grams", "s.bands"))
+    signed = cut_lineage(spread(reps).select("rep", sign("text").alias("s")).select("rep", "s.grams", "s.bands"))
     band = signed.select("rep", F.explode("bands").alias("h"))
     left = band.select(F.col("h"), F.col("rep").alias("a"))
     right = band.select(F.col("h"), F.col("rep").alias("b"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstone.llm import language, mix, nearest, neardup, quality, split, tokens, turns
-from turnstone.session import current_rows, table
+from turnstone.session import current_rows, spread, table
 
 
 def _turns(spark: SparkSession, sf_dir: str, pause_share: float | None = None) -> DataFrame:
@@ -91,7 +91,7 @@ WHERE shared >= (x.n + y.n - shared) * CASE WHEN c.kind = 'title' THEN 0.6 ELSE
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.split_items(table(spark, sf_dir, "retrieval_chunk"))
+    return split.split_items(spread(table(spark, sf_dir, "retrieval_chunk")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +120,7 @@ def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("language_code"), F.col("text").alias("raw_text"))
     labelled = rows.select("language_code", "raw_text").unionByName(docs)
     model = language.fit_on(labelled, "raw_text", "language_code", table(spark, sf_dir, "common_word"))
-    once = rows.dropDuplicates(["transcript_id"]).select(F.struct("transcript_id", "language_code").alias("row"), "raw_text")
+    once = spread(rows.dropDuplicates(["transcript_id"])).select(F.struct("transcript_id", "language_code").alias("row"), "raw_text")
     found = language.detect(once, "row", "raw_text", model)
     return found.select("row.transcript_id", language.named_language("row.language_code").alias("named"), "d")
 
@@ -142,7 +142,7 @@ def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return tokens.encode_corpus(docs).select("doc_id", "ids")
 
 
@@ -153,7 +153,7 @@ def p7_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return mix.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))
+    return mix.mix(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_target"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +170,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     common = quality.common_words(table(spark, sf_dir, "common_word"))
-    return quality.score(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", common)
+    return quality.score(spread(table(spark, sf_dir, "documents")), "doc_id", "text", "lang", common)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

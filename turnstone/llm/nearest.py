@@ -29,6 +29,11 @@ def _micros(column: str):
     return F.when(c.isNotNull() & ~F.isnan(c) & (F.abs(c) < 9e12), F.round(c * 1_000_000).cast("long"))
 
 
+def groups_for(spark, rows: int) -> int:
+    """Arrow groups for so many rows of both sides together."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // GROUP_ROWS))
+
+
 def nearest_in_time(
     left: DataFrame, right: DataFrame, entity: str, left_id: str, left_time: str, right_id: str, right_time: str, tolerance: float, groups: int | None = None, bucket_seconds: float = 600.0
 ) -> DataFrame:
@@ -39,11 +44,12 @@ def nearest_in_time(
     later right row at the same distance the earlier wins, among right rows of one time the smallest id. A left id
     that is repeated gives one row per different time. Both tables may be empty, and columns not named are ignored.
 
-    ``groups``: number of Arrow groups; by default from the row counts, ``GROUP_ROWS`` rows each.
+    ``groups``: number of Arrow groups; by default from the row counts, ``GROUP_ROWS`` rows each. Where the inputs
+    are costly to count, give ``groups_for`` an estimate.
     """
     spark = left.sparkSession
     if groups is None:
-        groups = max(spark.sparkContext.defaultParallelism, -(-(left.count() + right.count()) // GROUP_ROWS))
+        groups = groups_for(spark, left.count() + right.count())
     tol = round(tolerance * 1_000_000)
     width = max(round(bucket_seconds * 1_000_000), 10 * tol, 1)
     le = left.select(F.col(f"`{entity}`").cast("string").alias("e"), F.col(f"`{left_id}`").alias("i"), _micros(left_time).alias("t")).dropna()

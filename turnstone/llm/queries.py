@@ -26,10 +26,12 @@ def p1_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = current_rows(table(spark, sf_dir, "visual_frame").select("frame_id", "source_id", "timestamp", "ingested_at"), "frame_id")
-    segments = current_rows(table(spark, sf_dir, "transcript_segment").select("seg_id", "source_id", "start", "ingested_at"), "seg_id")
+    frames, segments = table(spark, sf_dir, "visual_frame"), table(spark, sf_dir, "transcript_segment")
+    groups = nearest.groups_for(spark, frames.count() + segments.count())  # from the files' footers
+    frames = current_rows(frames.select("frame_id", "source_id", "timestamp", "ingested_at"), "frame_id")
+    segments = current_rows(segments.select("seg_id", "source_id", "start", "ingested_at"), "seg_id")
     frames = frames.withColumn("source_id", nearest.frame_source())
-    return nearest.nearest_in_time(frames, segments, "source_id", "frame_id", "timestamp", "seg_id", "start", tolerance=1.5)
+    return nearest.nearest_in_time(frames, segments, "source_id", "frame_id", "timestamp", "seg_id", "start", 1.5, groups)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,7 @@ def test_labels_and_words():
     assert read_segment("(Goststed) yes - HOST: no", "S3", r) == [(2, "yes"), (1, "no")]
     assert read_segment("00:00:12,500 --> [Applause] uh... hmm", "S1", r) == []
     assert read_segment("", "S1", r) == [] and read_segment("ben", "S1", r) == []
+    assert len(read_segment("word: other " * 3000, None, r)) == 1 and len(read_segment("Yarec: one\nS2: two " * 500, None, r)) == 1000
     assert read_segment(">> unknown: we saw at 5:30", None, r)[0][0] is None
 
 

@@ -24,6 +24,8 @@ _TIME = re.compile(rf"[\[(<【{{]\s*{_CLOCK}(?:\s*-->\s*{_CLOCK})?\s*[\])>】}}]
 _BRACKET = re.compile(r"\[([^\[\]]*)\]|\(([^()]*)\)|【([^【】]*)】|\{([^{}]*)\}|\*([^*\n]{1,40})\*|<([^<>]*)>")
 _COLON = re.compile(r"[:：]")
 _MARK = re.compile(r"(?:^|(?<=\s))(?:>>+|-|–|—|•)\s*$")
+#: Characters before a colon that may be its label.
+LABEL_REACH = 160
 _WORD = re.compile(r"[^\W_]+(?:[-'’.,_][^\W_]+)*", re.UNICODE)
 _NUMBERED = re.compile(r"^(?:speaker|spk|spkr|s)\s*0*(\d+)$")
 
@@ -176,8 +178,14 @@ def read_segment(text: str, speaker: str | None, roster: Roster) -> list[tuple[i
     for m in _COLON.finditer(body):
         if m.end() < len(body) and not (body[m.end()].isspace() or body[m.end()] == "\x00" or m[0] == "：" or body[m.end()] in "<[(♪"):
             continue
-        line = max(body.rfind("\n", 0, m.start()), body.rfind("\x00", 0, m.start()), max((e for _, e, _ in labels if e <= m.start()), default=0) - 1)
-        before = body[line + 1 : m.start()]
+        reach = max(0, m.start() - LABEL_REACH - 1)
+        line = max(body.rfind("\n", reach, m.start()), body.rfind("\x00", reach, m.start()), reach - 1)
+        low = line + 1
+        if m.start() - low > LABEL_REACH:
+            low = m.start() - LABEL_REACH
+            while low < m.start() and not body[low - 1].isspace():
+                low += 1
+        before = body[low : m.start()]
         # words that could be the name, longest first
         starts = [w.start() for w in re.finditer(r"\S+", before)][-5:]
         found = None
@@ -191,18 +199,19 @@ def read_segment(text: str, speaker: str | None, roster: Roster) -> list[tuple[i
             for s in starts:
                 name = re.sub(r"^(?:>>+|[-–—•])\s*", "", before[s:])
                 if plain_name(name) in NOBODY and plain_name(name):
-                    a = line + 1 + s
-                    lead = _MARK.search(body[: a])
-                    mask(lead.start() if lead else a, m.end())
+                    a = low + s
+                    shift = max(0, a - LABEL_REACH)
+                    lead = _MARK.search(body[shift:a])
+                    mask(lead.start() + shift if lead else a, m.end())
                     break
             continue
-        a = line + 1 + found[0]
-        lead = _MARK.search(body[:a])
-        if lead:
-            a = lead.start()
+        a = low + found[0]
+        shift = max(0, a - LABEL_REACH)
+        if lead := _MARK.search(body[shift:a]):
+            a = lead.start() + shift
         labels.append((a, m.end(), found[1]))
         mask(a, m.end())
-        body = "".join(masked)
+        body = body[:a] + "\x00" * (m.end() - a) + body[m.end() :]
     body = _TAG.sub(lambda m: "\x00" * len(m[0]), "".join(masked))
     labels.sort()
     edges = [0, *[a for a, _, _ in labels], len(body)]

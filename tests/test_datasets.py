@@ -132,6 +132,20 @@ def test_plugins(spark):
         plugins.transcribe(media, "other")
 
 
+def test_search(spark):
+    @plugins.SEARCH.register
+    class Pages(plugins.SearchProvider):
+        name = "pages"
+
+        def pages(self, query):
+            if query == "broken":
+                raise OSError("no network")
+            return [f"v=aa v=bb v=aa {query}", ""]
+
+    assert [r.id for r in plugins.search(spark, "v=cc", r"v=(\w+)", "pages", 2).collect()] == ["aa", "bb"]
+    assert plugins.search(spark, "broken", r"v=(\w+)", "pages").count() == 0
+
+
 def test_config(tmp_path):
     assert [(config.load(profile=p).speech_model, config.load(profile=p).frame_interval_seconds) for p in ("fast", "balanced", "high-quality")] == [("tiny", 15.0), ("base", 10.0), ("medium", 5.0)]
     (tmp_path / "c.toml").write_text('[turnstone]\nmin_words = 5\ntarget_language = "en"\n')

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 SEGMENT_ROW = "source_id string, text string, start double, duration double, confidence double, language string, probability double"
 FRAME_ROW = "source_id string, frame_id string, timestamp double, file_path string, visual_type string, description string, ocr_text string, confidence double, provider string"
@@ -43,6 +43,14 @@ class FrameProvider(ABC):
         """Frames with timestamp and, as far as the provider can, description, ocr_text, confidence."""
 
 
+class SearchProvider(ABC):
+    name = ""
+
+    @abstractmethod
+    def pages(self, query: str) -> list[str]:
+        """Result pages of a query as text."""
+
+
 class Registry:
     """Providers by name; an unknown name is an error that lists the known ones."""
 
@@ -63,6 +71,7 @@ class Registry:
 
 SPEECH = Registry(SpeechProvider)
 FRAMES = Registry(FrameProvider)
+SEARCH = Registry(SearchProvider)
 
 
 @SPEECH.register
@@ -131,3 +140,15 @@ def describe_frames(sources: DataFrame, provider: str = "none") -> DataFrame:
             yield pd.DataFrame(out, columns=columns).astype({"timestamp": "float64", "confidence": "float64"})
 
     return sources.select("source_id", "duration_seconds").mapInPandas(run, FRAME_ROW)
+
+
+def search(spark: SparkSession, query: str, pattern: str, provider: str, limit: int = 10) -> DataFrame:
+    """``page, position, id`` of what a search finds, at most ``limit`` (1..50) ids a page; a search that fails finds nothing."""
+    from turnstone.operators.discovery import found_in_page
+
+    try:
+        pages = SEARCH.get(provider)().pages(query)
+    except Exception:  # noqa: BLE001 - any failure of a remote service means no results
+        pages = []
+    rows = spark.createDataFrame(list(enumerate(pages)), "page int, text string")
+    return found_in_page(rows, "page", "text", pattern, limit)

@@ -38,7 +38,7 @@ def test_ratios(spark):
 
 def test_hashes(spark):
     for text in ("", "abc", "Ünïcode and more than thirty-two bytes of text"):
-        assert one(spark, H.xxh64("x"), text) == xxhash.xxh64_hexdigest(text)
+        assert one(spark, H.xxh64("x"), text) == xxhash.xxh64_hexdigest(text) == one(spark, H._xxh64_batches(0)("x"), text)
     a, b = "This is a test transcript sentence.", "  THIS  is a\ttest transcript\n sentence. "
     assert one(spark, H.normalized_hash("x"), a) == one(spark, H.normalized_hash("x"), b) and one(spark, H.sha256("x"), a) != one(spark, H.sha256("x"), b)
     assert one(spark, H.xxh64("x"), None) is None

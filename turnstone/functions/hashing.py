@@ -7,6 +7,7 @@ import json
 from enum import Enum
 from pathlib import PurePath
 
+import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,14 +28,30 @@ def canonical_text(c: str | Column) -> Column:
 
 
 def xxh64(c: str | Column, seed: int = 0) -> Column:
-    """64-bit xxHash as 16 hex digits; the built-in function fixes another seed, the expression itself takes any."""
-    jvm = SparkContext._active_spark_context._jvm
-    bridge = jvm.org.apache.spark.sql.classic.ExpressionUtils
-    seq = jvm.org.apache.spark.api.python.PythonUtils.toSeq([bridge.expression(col(c)._jc)])
-    hashed = Column(bridge.column(jvm.org.apache.spark.sql.catalyst.expressions.XxHash64(seq, seed)))
+    """64-bit xxHash as 16 hex digits; the built-in function fixes another seed, the expression itself takes any.
+
+    Where the session gives no access to the expression (a remote client), Arrow batches do the same.
+    """
+    try:
+        jvm = SparkContext._active_spark_context._jvm
+        bridge = jvm.org.apache.spark.sql.classic.ExpressionUtils
+        seq = jvm.org.apache.spark.api.python.PythonUtils.toSeq([bridge.expression(col(c)._jc)])
+        hashed = Column(bridge.column(jvm.org.apache.spark.sql.catalyst.expressions.XxHash64(seq, seed)))
+    except (AttributeError, TypeError):
+        return _xxh64_batches(seed)(col(c))
     return F.when(col(c).isNotNull(), F.lpad(F.lower(F.hex(hashed)), 16, "0"))
 
 
+def _xxh64_batches(seed: int):
+    @F.arrow_udf("string")
+    def digest(texts: pa.Array) -> pa.Array:
+        import xxhash
+
+        return pa.array([None if t is None else xxhash.xxh64_hexdigest(t, seed=seed) for t in texts.to_pylist()], pa.string())
+
+    return digest
+
+
 def normalized_hash(c: str | Column) -> Column:
     return xxh64(canonical_text(c))
 

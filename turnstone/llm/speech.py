@@ -27,6 +27,7 @@ _MARK = re.compile(r"(?:^|(?<=\s))(?:>>+|-|–|—|•)\s*$")
 #: Characters before a colon that may be its label.
 LABEL_REACH = 160
 _WORD = re.compile(r"[^\W_]+(?:[-'’.,_][^\W_]+)*", re.UNICODE)
+_LONG_DRAWN = re.compile(r"(.)\1{2,}")
 _NUMBERED = re.compile(r"^(?:speaker|spk|spkr|s)\s*0*(\d+)$")
 
 
@@ -121,9 +122,15 @@ def spoken_words(text: str) -> list[str]:
     return [w for w in _WORD.findall(text) if not is_hesitation(w)]
 
 
+@lru_cache(maxsize=200_000)
 def is_hesitation(word: str) -> bool:
     low = word.lower()
-    return low in HESITATIONS or re.sub(r"(.)\1{2,}", r"\1\1", low) in HESITATIONS
+    return low in HESITATIONS or _LONG_DRAWN.sub(r"\1\1", low) in HESITATIONS
+
+
+def has_words(text: str) -> bool:
+    """Whether a text has a spoken word; hesitation sounds that are also words do not make one."""
+    return any(not is_hesitation(m[0]) and m[0].lower() not in DOUBTFUL for m in _WORD.finditer(text))
 
 
 def _clean(text: str) -> str:
@@ -146,7 +153,8 @@ def read_segment(text: str, speaker: str | None, roster: Roster) -> list[tuple[i
     Empty if it has no spoken word. A label counts if it names one speaker of the roster; other bracketed notes are
     sound annotations. A stretch without spoken words is dropped together with its label.
     """
-    text = html.unescape(text)
+    if "&" in text:
+        text = html.unescape(text)
     labels: list[tuple[int, int, int]] = []  # from, to, speaker
     gone: list[tuple[int, int]] = []
     for m in _TIME.finditer(text):
@@ -219,7 +227,8 @@ def read_segment(text: str, speaker: str | None, roster: Roster) -> list[tuple[i
     out: list[tuple[int | None, str]] = []
     for sid, a, b in zip(who, edges, edges[1:]):
         part = body[a:b].replace("\x00", " ")
-        part = re.sub(r"(?:^|(?<=\s))>>+", " ", part)
-        if any(w.lower() not in DOUBTFUL for w in spoken_words(part)):
+        if ">>" in part:
+            part = re.sub(r"(?:^|(?<=\s))>>+", " ", part)
+        if has_words(part):
             out.append((sid, _clean(part)))
     return out

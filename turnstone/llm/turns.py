@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from turnstone.llm.speech import read_segment, roster_of
+from turnstone.session import cut_lineage
 
 #: Copies of each source's roster; segments of a hot source are spread over that many join keys.
 SALT = 16
@@ -90,7 +91,7 @@ def calibrated_pauses(segments: DataFrame, share: float = 0.98, least: float = 1
     return gaps.groupBy("source_id").agg(F.greatest(F.percentile_approx("gap", F.lit(share), F.lit(1000)), F.lit(least)).alias("pause"))
 
 
-def speaker_turns(segments: DataFrame, roster: DataFrame, pause_share: float | None = None, bucket_seconds: float = BUCKET_SECONDS) -> DataFrame:
+def speaker_turns(segments: DataFrame, roster: DataFrame, pause_share: float | None = None, bucket_seconds: float = BUCKET_SECONDS, with_text: bool = True) -> DataFrame:
     """``source_id, speaker_id, first_seg_id, last_seg_id, start, end, n_segments, text`` per turn.
 
     ``segments`` holds current rows (``source_id, seg_id, text, start, duration, speaker``), ``roster`` rows of
@@ -98,7 +99,7 @@ def speaker_turns(segments: DataFrame, roster: DataFrame, pause_share: float | N
     spoken words in order of ``start`` (ties: ``seg_id``); with ``pause_share`` it also ends at a pause longer than
     the source's calibrated one. Words before any label have a null speaker. Null or empty texts, null starts and segments without spoken words belong to no turn. A label that names no
     speaker of the source's roster, or several, is no label. Empty tables give an empty result; columns not named are
-    ignored.
+    ignored. ``with_text`` = False leaves the texts out, which then need not be moved.
     """
     pieces = spoken_stretches(segments, roster).withColumn("b", F.floor(F.col("start") / F.lit(float(bucket_seconds))))
     if pause_share is not None:
@@ -128,13 +129,15 @@ def speaker_turns(segments: DataFrame, roster: DataFrame, pause_share: float | N
         F.max(at).alias("last"),
         F.max("end").alias("end"),
         F.max("pause").alias("pause"),
-        F.array_sort(F.collect_list(F.struct("start", "seg_id", "pos", "said"))).alias("said"),
+        F.array_sort(F.collect_list(F.struct("start", "seg_id", "pos", "said") if with_text else F.struct("start", "seg_id"))).alias("said"),
     )
-    isles = isles.select("source_id", "b", "isle", "spk", "prev_spk", "late", "first", "last", "end", "pause", F.size(F.array_distinct("said.seg_id")).alias("n_segments"), _rolling(F.col("said.said")).alias("text"))
+    isles = isles.select("source_id", "b", "isle", "spk", "prev_spk", "late", "first", "last", "end", "pause", F.size(F.array_distinct("said.seg_id")).alias("n_segments"), (_rolling(F.col("said.said")) if with_text else F.lit(None).cast("string")).alias("text"))
 
     # Islands that can touch another bucket: the unlabelled ones at its front, the first labelled, and the last.
     bucket = Window.partitionBy("source_id", "b")
     isles = isles.withColumn("edge", F.col("prev_spk").isNull() | (F.col("isle") == F.max("isle").over(bucket)))
+    # Written once: the finished islands and those at the edges take different ways from here.
+    isles = cut_lineage(isles)
     per_source = Window.partitionBy("source_id").orderBy("b", "isle")
     earlier = per_source.rowsBetween(Window.unboundedPreceding, -1)
     first_of_bucket = F.row_number().over(bucket.orderBy("isle")) == 1
@@ -157,8 +160,9 @@ def speaker_turns(segments: DataFrame, roster: DataFrame, pause_share: float | N
         F.array_sort(F.collect_list(F.struct("b", "isle", "text"))).alias("parts"),
     )
     # A turn opened by a pause may have no label of its own; its speaker is the one before the pause.
-    shared = shared.select("source_id", F.coalesce("own", "carry").alias("spk"), "first", "last", "end", "n_segments", _rolling(F.col("parts.text")).alias("text"))
+    shared = shared.select("source_id", F.coalesce("own", "carry").alias("spk"), "first", "last", "end", "n_segments", (_rolling(F.col("parts.text")) if with_text else F.lit(None).cast("string")).alias("text"))
     inner = isles.filter("NOT edge").select("source_id", "spk", "first", "last", "end", "n_segments", "text")
     turns = inner.unionByName(shared)
-    return turns.select("source_id", F.col("spk").alias("speaker_id"), F.col("first.seg_id").alias("first_seg_id"), F.col("last.seg_id").alias("last_seg_id"), F.col("first.start").alias("start"), "end", "n_segments", "text")
+    columns = ["n_segments", "text"] if with_text else ["n_segments"]
+    return turns.select("source_id", F.col("spk").alias("speaker_id"), F.col("first.seg_id").alias("first_seg_id"), F.col("last.seg_id").alias("last_seg_id"), F.col("first.start").alias("start"), "end", *columns)
 

@@ -84,19 +84,24 @@ def choose_bands(threshold: float, recall: float, records: int, background: floa
 @lru_cache(maxsize=8)
 def _coefficients(k: int) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(20240229)
-    return r.integers(1, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 2**63, k, dtype=np.uint64)
+    return r.integers(0, 2**31, k, dtype=np.uint32) * np.uint32(2) + np.uint32(1), r.integers(0, 2**32, k, dtype=np.uint32)
 
 
 def band_hashes(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit hash per band of the MinHash signature; each depends on the band's number too."""
+    """One 64-bit hash per band of the MinHash signature; each depends on the band's number too.
+
+    Minima are taken over 32-bit hashes of the n-grams, which processors multiply many at a time.
+    """
     a, b = _coefficients(bands * rows)
-    low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    short = (grams ^ (grams >> np.uint64(32))).astype(np.uint32)
+    low = np.full(bands * rows, np.iinfo(np.uint32).max, np.uint32)
     with np.errstate(over="ignore"):
-        for i in range(0, len(grams), 2048):
-            x = grams[None, i : i + 2048] * a[:, None] + b[:, None]
-            np.minimum(low, (x ^ (x >> np.uint64(31))).min(axis=1), out=low)
+        for i in range(0, len(short), 2048):
+            x = short[None, i : i + 2048] * a[:, None]
+            x += b[:, None]
+            np.minimum(low, x.min(axis=1), out=low)
         h = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x94D049BB133111EB)
-        for row in low.reshape(bands, rows).T:
+        for row in low.astype(np.uint64).reshape(bands, rows).T:
             h = (h ^ row) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(30)
     return h.view(np.int64)
@@ -122,7 +127,8 @@ def classes(df: DataFrame, record_id: str, text: str, like: Likeness) -> tuple[D
 
     rows = df.select(F.col(f"`{record_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).dropna()
     keyed = spread(rows).withColumn("key", key("text")).filter("key IS NOT NULL")
-    reps = keyed.groupBy("key").agg(F.min("id").alias("rep"), F.min_by("text", "id").alias("text"))
+    # Written once: memberships and signatures both start from the representatives.
+    reps = cut_lineage(keyed.groupBy("key").agg(F.min("id").alias("rep"), F.min_by("text", "id").alias("text")))
     members = cut_lineage(keyed.select("id", "key").distinct().join(reps.select("key", "rep"), "key").groupBy("id").agg(F.min("rep").alias("rep")))
     return members, reps.select("rep", "text")
 

@@ -147,11 +147,12 @@ def _clean(text: str) -> str:
     return " ".join(out)
 
 
-def read_segment(text: str, speaker: str | None, roster: Roster) -> list[tuple[int | None, str]]:
+def read_segment(text: str, speaker: str | None, roster: Roster, clean: bool = True) -> list[tuple[int | None, str]]:
     """The segment's stretches of spoken words as (speaker id or None for 'goes on', clean text), in order.
 
     Empty if it has no spoken word. A label counts if it names one speaker of the roster; other bracketed notes are
     sound annotations. A stretch without spoken words is dropped together with its label.
+    ``clean`` = False gives empty texts.
     """
     if "&" in text:
         text = html.unescape(text)
@@ -230,5 +231,5 @@ def read_segment(text: str, speaker: str | None, roster: Roster) -> list[tuple[i
         if ">>" in part:
             part = re.sub(r"(?:^|(?<=\s))>>+", " ", part)
         if has_words(part):
-            out.append((sid, _clean(part)))
+            out.append((sid, _clean(part) if clean else ""))
     return out

@@ -46,13 +46,27 @@ def _rolling(lists: pa.Array) -> pa.Array:
     return pa.array([None if x is None else merge_rolling(x) for x in lists.to_pylist()], pa.string())
 
 
-_STRETCHES = pa.list_(pa.struct([("speaker_id", pa.int64()), ("said", pa.string())]))
+_SAID = T.ArrayType(T.StructType([T.StructField("speaker_id", T.LongType()), T.StructField("said", T.StringType())]))
 
 
-@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("speaker_id", T.LongType()), T.StructField("said", T.StringType())])))
-def _read(text: pa.Array, speaker: pa.Array, roster: pa.Array) -> pa.Array:
-    rows = zip(text.to_pylist(), speaker.to_pylist(), roster.to_pylist())
-    return pa.array([[{"speaker_id": i, "said": said} for i, said in read_segment(t, s, roster_of(r or ""))] for t, s, r in rows], _STRETCHES)
+def _reader(with_text: bool):
+    """Column function of text, speaker and packed roster: the segment's stretches."""
+
+    @F.arrow_udf(_SAID)
+    def read(text: pa.Array, speaker: pa.Array, roster: pa.Array) -> pa.Array:
+        packed = roster.dictionary_encode()
+        rosters = [roster_of(r or "") for r in packed.dictionary.to_pylist()]
+        nobody = roster_of("")
+        offsets, ids, said = [0], [], []
+        for t, s, r in zip(text.to_pylist(), speaker.to_pylist(), packed.indices.to_pylist()):
+            for i, words in read_segment(t, s, nobody if r is None else rosters[r], with_text):
+                ids.append(i)
+                said.append(words)
+            offsets.append(len(ids))
+        rows = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(said, pa.string())], names=["speaker_id", "said"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
+
+    return read
 
 
 def packed_roster(roster: DataFrame) -> DataFrame:
@@ -62,7 +76,7 @@ def packed_roster(roster: DataFrame) -> DataFrame:
     return rows.groupBy("r_source").agg(F.array_join(F.array_sort(F.collect_set("x")), "\x1e").alias("roster"))
 
 
-def spoken_stretches(segments: DataFrame, roster: DataFrame) -> DataFrame:
+def spoken_stretches(segments: DataFrame, roster: DataFrame, with_text: bool = True) -> DataFrame:
     """``source_id, seg_id, start, end, pos, speaker_id, said``: stretches of spoken words, speaker null for 'goes on'.
 
     Rows without source, start (NaN included) or text, and segments without spoken words, are left out.
@@ -73,7 +87,7 @@ def spoken_stretches(segments: DataFrame, roster: DataFrame) -> DataFrame:
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("seg_id"), F.lit(SALT)).cast("int"))
     rows = rows.join(salted, (F.col("source_id") == F.col("r_source")) & (F.col("salt") == F.col("r_salt")), "left")
     end = F.col("start") + F.greatest(F.coalesce(F.nanvl("duration", F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
-    rows = rows.withColumn("stretch", _read("text", "speaker", "roster"))
+    rows = rows.withColumn("stretch", _reader(with_text)("text", "speaker", "roster"))
     rows = rows.select("source_id", "seg_id", "start", end.alias("end"), F.posexplode("stretch").alias("pos", "s"))
     return rows.select("source_id", "seg_id", "start", "end", "pos", "s.speaker_id", "s.said")
 
@@ -101,7 +115,7 @@ def speaker_turns(segments: DataFrame, roster: DataFrame, pause_share: float | N
     speaker of the source's roster, or several, is no label. Empty tables give an empty result; columns not named are
     ignored. ``with_text`` = False leaves the texts out, which then need not be moved.
     """
-    pieces = spoken_stretches(segments, roster).withColumn("b", F.floor(F.col("start") / F.lit(float(bucket_seconds))))
+    pieces = spoken_stretches(segments, roster, with_text).withColumn("b", F.floor(F.col("start") / F.lit(float(bucket_seconds))))
     if pause_share is not None:
         pauses = calibrated_pauses(segments, pause_share).select(F.col("source_id").alias("p_source"), "pause")
         salted = pauses.withColumn("p_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))

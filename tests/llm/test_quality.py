@@ -30,6 +30,30 @@ def test_kinds(spark):
     assert 0 <= some.pct_n_words <= 1 and some.tails == [] and abs(some.z_readable_share) < 1
 
 
+def prose_of(n):
+    return [PROSE + f" Number {i} follows the longer route and the speaker keeps a bag of seeds." for i in range(n)]
+
+
+def scored(spark, rows):
+    df = spark.createDataFrame([(i, t, lang, None, 1) for i, (t, lang) in enumerate(rows)], S)
+    return [r for r in sorted(score(df, "doc_id", "text", "lang", {}).collect(), key=lambda r: r.doc_id)]
+
+
+def test_junk_is_found_whatever_its_share_of_a_language(spark):
+    looped, unreadable = "subscribe to my channel " * 30, "hjk;lkwqrt fghj,dfgkl wrtpq;sdf " * 9
+    rows = [(t, "en") for t in prose_of(200)] + [(looped, "en")] * 60 + [(unreadable, "en")] * 40
+    rows += [(looped, "xx")] * 40 + [(unreadable, "yy")] * 40 + [(looped, "zz")] * 5 + [("The older map carries some warm bread when the light changes.", "few")] * 3
+    out = scored(spark, rows)
+    assert [r.kind for r in out] == ["prose"] * 200 + ["junk"] * 185 + ["prose"] * 3
+    assert all(r.z_distinct_share < -5 for r in out[200:260])  # the scale does not grow with the copies
+
+
+def test_prose_without_spaces_or_with_marks_is_readable(spark):
+    texts = ["今天天气很好，我们去公园散步，看见了很多花。然后大家一起回家吃饭，聊了很久，最后才慢慢睡觉，第二天又早早起床去上班。", "วันนี้อากาศดีมากเราไปเดินเล่นที่สวนสาธารณะกับเพื่อน", "ذهبَ الولدُ إلى المدرسةِ، ثمَّ عادَ إلى البيتِ."]
+    out = scored(spark, [(t, "en") for t in prose_of(60)] + [(t, lang) for t, lang in zip(texts, ("zh", "th", "ar"))])
+    assert [r.readable_share for r in out[60:]] == [1.0] * 3 and "junk" not in [r.kind for r in out]
+
+
 def test_statistics_of_one_text():
     m = measure("The cat sat.\n\nA dog — ran!", {"the": ("en",), "a": ("en", "pt"), "sat": ("xx",)})
     assert (m["n_words"], m["n_lines"], m["punct_line_share"]) == (6, 2, 1.0) and abs(m["common_share"] - 2 / 6) < 1e-9

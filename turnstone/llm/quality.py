@@ -1,14 +1,17 @@
 """Text quality statistics per document, and which documents are lists, tables or junk rather than prose.
 
 Every statistic gets a mergeable quantile sketch (KLL) per language, built over all documents; a document's values
-become percentiles and robust z-scores within its language, and far tails are flagged. Documents without a known
-language, and languages with few documents, are judged by the merged sketch of all labelled ones. The layout of lines
-(short items, rows of the same columns) comes from the statistics of the lines themselves.
+become percentiles and robust z-scores within its language, and far tails are flagged. The quantiles of a language
+are shrunk towards those of the merged sketch by its number of documents; documents without a known language are judged
+by the merged sketch of all labelled ones. Readable tokens and distinct phrases have a bound besides, so that junk is
+found whatever its own share of a language is. The layout of lines (short items, rows of the same columns) comes from
+the statistics of the lines themselves.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from functools import lru_cache
 from itertools import chain
@@ -24,9 +27,11 @@ from turnstone.session import cut_lineage
 SKETCHED = {"n_words": 5.0, "mean_word_length": 0.5, "symbol_ratio": 0.03, "punct_line_share": 0.15, "common_share": 0.05, "readable_share": 0.05, "distinct_share": 0.1}
 #: Labels beyond these share one sketch, so that there are at most this many and two more.
 MAX_LANGUAGES = 200
-#: A language with fewer documents is judged by the merged sketch.
+#: The merged sketch counts as so many documents beside a language's own.
 LEAST_DOCUMENTS = 30
 TAIL = 5.0
+#: A text below these is junk in every language, however many of its language's documents are like it.
+LEAST_SHARE = {"readable_share": 0.7, "distinct_share": 0.4}
 
 _BREAK = re.compile("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 _INVISIBLE = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
@@ -45,17 +50,29 @@ _VOWEL = re.compile("[aeiouyáàâäãåæéèêëíìîïóòôöõøœúùûü
 _CLUSTER = re.compile("[bcdfghjklmnpqrstvwxzßçñбвгджзклмнпрстфхцчшщ]{7,}")
 #: Letters with the marks, joiners and hyphens that stand inside words.
 _LETTERS = re.compile(r"(?:[^\W\d]|['’‘\-./@\u0900-\u0dff\u0300-\u036f\u200c\u200d])+")
+#: Scripts that put no spaces between words: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def _letters_only(core: str) -> bool:
+    if _LETTERS.fullmatch(core):
+        return True
+    # Marks of the scripts that the pattern does not list.
+    return not core.isascii() and bool(_LETTERS.fullmatch("".join(c for c in core if unicodedata.category(c)[0] != "M")))
 
 
 @lru_cache(maxsize=200_000)
 def readable(token: str) -> bool | None:
     """Whether a token between white space looks like a word; None for numbers, times and lone punctuation."""
-    core = token.strip(".,;:!?…।。！？\"'“”„«»‘’()[]{}<>|/*#_-–—•☐☑♪@&")
+    core = token.strip(".,;:!?…।。！？，、；：،؛؟۔\"'“”„«»‘’「」『』（）()[]{}<>|/*#_-–—•☐☑♪@&")
     if not core:
         return None
     if _NUMBER.match(core):
         return None
-    if len(core) > 40 or not _LETTERS.fullmatch(core):
+    unspaced = len(_UNSPACED.findall(core))
+    if unspaced:
+        return unspaced * 2 > len(core)
+    if len(core) > 40 or not _letters_only(core):
         return False
     low = core.lower()
     if not (core == low or core[1:] == low[1:] or core == core.upper() or "-" in core or "'" in core or "’" in core or core[:2] in ("Mc", "O'")):
@@ -196,8 +213,9 @@ def score(df: DataFrame, doc_id: str, text: str, lang: str, common: dict[str, tu
     """One row per document: its statistics, percentiles, robust z-scores, flags and ``kind``.
 
     ``kind`` is 'prose', 'list', 'table', 'junk', or null for null and blank texts. ``tails`` names the statistics in
-    a far tail (|z| > 5). Junk is a text in the low tail of readable tokens or of distinct phrases, or one whose lines
-    mostly hold no letter or digit; otherwise a text is what most of its lines are. Repeated rows are kept as they are.
+    a far tail (|z| > 5). Junk is a text in the low tail of readable tokens or of distinct phrases or below their
+    ``LEAST_SHARE``, or one whose lines mostly hold no letter or digit; otherwise a text is what most of its lines are.
+    Repeated rows are kept as they are.
     """
     rows = df.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{lang}`").alias("l"), statistics(F.col(f"`{text}`"), common).alias("s")).withColumn("lang", _language(F.col("l")))
     # Measured once and written without the texts: the sketches and the scores both read it.
@@ -210,20 +228,24 @@ def score(df: DataFrame, doc_id: str, text: str, lang: str, common: dict[str, tu
     table = sketches(rows.filter("s IS NOT NULL"))
     ranks = F.array(*[F.lit(i / 100) for i in range(101)])
     grid = table.select("lang", "n", *[F.kll_sketch_get_quantile_double(F.col(k), ranks).alias(f"q_{k}") for k in SKETCHED])
-    own = grid.filter(f"n >= {LEAST_DOCUMENTS} OR lang = '*'").filter("lang <> 'und'")
+    merged = grid.filter("lang = '*'").select(*[F.col(f"q_{k}").alias(f"m_{k}") for k in SKETCHED])
+    shrunk = lambda k: F.zip_with(f"q_{k}", f"m_{k}", lambda q, m: (q * F.col("n") + m * LEAST_DOCUMENTS) / (F.col("n") + LEAST_DOCUMENTS))
+    own = grid.filter("lang <> 'und'").crossJoin(F.broadcast(merged)).select("lang", *[shrunk(k).alias(f"q_{k}") for k in SKETCHED])
     own = cut_lineage(own)
     listed = [r["lang"] for r in own.select("lang").collect()]
     key = F.when(F.col("lang").isin(listed), F.col("lang")).otherwise(F.lit("*"))
-    rows = rows.withColumn("key", key).join(F.broadcast(own.withColumnRenamed("lang", "key").drop("n")), "key", "left")
+    rows = rows.withColumn("key", key).join(F.broadcast(own.withColumnRenamed("lang", "key")), "key", "left")
     z, pct = {}, {}
     for k, floor in SKETCHED.items():
         q, x = F.col(f"q_{k}"), F.col(f"s.{k}").cast("double")
-        spread = F.greatest((F.get(q, F.lit(75)) - F.get(q, F.lit(25))) / 1.349, F.lit(floor))
+        # Junk lies in the lower half of these; the scale must not grow with it.
+        width = 2 * (F.get(q, F.lit(75)) - F.get(q, F.lit(50))) if k in LEAST_SHARE else F.get(q, F.lit(75)) - F.get(q, F.lit(25))
+        spread = F.greatest(width / 1.349, F.lit(floor))
         z[k] = F.round((x - F.get(q, F.lit(50))) / spread, 3)
         pct[k] = F.greatest(F.size(F.filter(q, lambda g, x=x: g <= x)) - 1, F.lit(0)) / 100
     rows = rows.withColumns({f"z_{k}": v for k, v in z.items()} | {f"pct_{k}": F.when(F.col("s").isNotNull(), v) for k, v in pct.items()})
     tails = F.filter(F.array(*[F.when(F.abs(F.col(f"z_{k}")) > TAIL, F.lit(k)) for k in SKETCHED]), lambda t: t.isNotNull())
-    low = lambda k: F.coalesce(F.col(f"z_{k}") < -TAIL, F.lit(False))
+    low = lambda k: F.coalesce(F.col(f"z_{k}") < -TAIL, F.lit(False)) | (F.col(f"s.{k}") < LEAST_SHARE[k])
     half = F.col("s.n_lines") / 2
     kind = (
         F.when(F.col("s").isNull(), None)

@@ -48,6 +48,23 @@ def test_junk_is_found_whatever_its_share_of_a_language(spark):
     assert all(r.z_distinct_share < -5 for r in out[200:260])  # the scale does not grow with the copies
 
 
+def test_documents_without_a_language_are_in_the_merged_sketch(spark, monkeypatch):
+    looped, unreadable = "subscribe to my channel " * 30, "hjk;lkwqrt fghj,dfgkl wrtpq;sdf " * 9
+    texts = prose_of(60) + [looped] * 20 + [unreadable] * 10
+    for label in (None, " ", "und"):
+        out = scored(spark, [(t, label) for t in texts])
+        assert [r.kind for r in out] == ["prose"] * 60 + ["junk"] * 30
+        assert all(r.z_distinct_share is not None and r.pct_n_words > 0 for r in out) and out[60].z_distinct_share < -5
+    # Long unlabelled documents are ordinary where most documents are long, whatever the labelled ones are.
+    long = [" ".join(prose_of(40)[i:] + prose_of(i)) for i in range(40)]
+    out = scored(spark, [(t, "en") for t in prose_of(10)] + [(t, None) for t in long])
+    assert all("n_words" not in r.tails for r in out[10:])
+    # So are those of labels beyond the most frequent ones.
+    monkeypatch.setattr("turnstone.llm.quality.MAX_LANGUAGES", 1)
+    out = scored(spark, [(t, "en") for t in prose_of(42)] + [(t, f"x{i}") for i, t in enumerate(long)] * 2)
+    assert all("n_words" not in r.tails for r in out[42:])
+
+
 def test_prose_without_spaces_or_with_marks_is_readable(spark):
     texts = ["今天天气很好，我们去公园散步，看见了很多花。然后大家一起回家吃饭，聊了很久，最后才慢慢睡觉，第二天又早早起床去上班。", "วันนี้อากาศดีมากเราไปเดินเล่นที่สวนสาธารณะกับเพื่อน", "ذهبَ الولدُ إلى المدرسةِ، ثمَّ عادَ إلى البيتِ."]
     out = scored(spark, [(t, "en") for t in prose_of(60)] + [(t, lang) for t, lang in zip(texts, ("zh", "th", "ar"))])

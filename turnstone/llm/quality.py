@@ -2,8 +2,8 @@
 
 Every statistic gets a mergeable quantile sketch (KLL) per language, built over all documents; a document's values
 become percentiles and robust z-scores within its language, and far tails are flagged. The quantiles of a language
-are shrunk towards those of the merged sketch by its number of documents; documents without a known language are judged
-by the merged sketch of all labelled ones. Readable tokens and distinct phrases have a bound besides, so that junk is
+are shrunk towards those of the merged sketch by its number of documents; documents without a known language, and those
+of languages beyond the most frequent ones, are judged by the merged sketch of all documents, their own included. Readable tokens and distinct phrases have a bound besides, so that junk is
 found whatever its own share of a language is. The layout of lines (short items, rows of the same columns) comes from
 the statistics of the lines themselves.
 """
@@ -204,8 +204,7 @@ def _language(lang: Column) -> Column:
 def sketches(measured: DataFrame) -> DataFrame:
     """``lang, n, <statistic>`` (binary KLL sketch) per language, and the merged one of all as language '*'."""
     per = measured.groupBy("lang").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(F.col(f"s.{k}").cast("double")).alias(k) for k in SKETCHED])
-    labelled = per.filter("lang <> 'und'")
-    both = labelled.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[F.kll_merge_agg_double(k).alias(k) for k in SKETCHED]).filter("n > 0")
+    both = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[F.kll_merge_agg_double(k).alias(k) for k in SKETCHED]).filter("n > 0")
     return per.unionByName(both.select(F.lit("*").alias("lang"), "n", *SKETCHED))
 
 

@@ -7,6 +7,7 @@ import glob
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tools.compare import plain
 from turnstone.llm import queries
@@ -40,3 +41,28 @@ def test_query(spark, name):
         res = con.execute(queries.ORACLE[name])
         theirs = [d[0] for d in res.description]
         assert ours == Counter(tuple(plain(r[theirs.index(c)]) for c in cols) for r in res.fetchall())
+
+
+def without_ids(spark, folder, name, column):
+    """A copy of the tables, with null ids in ``name``."""
+    for p in glob.glob(f"{SF}/*.parquet"):
+        if os.path.basename(p) != f"{name}.parquet":
+            os.symlink(p, folder / os.path.basename(p))
+    rows = spark.read.parquet(f"{SF}/{name}.parquet")
+    rows = rows.unionByName(rows.limit(5)).withColumn(column, F.lit(None).cast(rows.schema[column].dataType))
+    rows.write.parquet(f"{folder}/{name}.parquet")
+    return rows
+
+
+def test_chunks_without_an_id(spark, tmp_path):
+    without_ids(spark, tmp_path, "retrieval_chunk", "chunk_id")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW retrieval_chunk AS SELECT * FROM read_parquet('{tmp_path}/retrieval_chunk.parquet/*.parquet')")
+    theirs = Counter(con.execute(queries.ORACLE["p4_found"]).fetchall())
+    assert sum(theirs.values()) > 1 and Counter(tuple(r) for r in queries.p4_found(spark, str(tmp_path)).collect()) == theirs
+
+
+def test_transcripts_without_an_id(spark, tmp_path):
+    rows = without_ids(spark, tmp_path, "raw_transcript", "transcript_id")
+    n = rows.select("language_code", "raw_text").distinct().count()
+    assert n > 1 and queries.p5_languages(spark, str(tmp_path)).count() == n

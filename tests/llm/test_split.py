@@ -61,3 +61,12 @@ def test_table(spark):
     assert a[0].start_timestamp == 10.0 and a[-1].end_timestamp == 40.0 and all(x.end_timestamp == y.start_timestamp for x, y in zip(a, a[1:]))
     assert all(r.start_timestamp is None for k in "bch" for r in by[k]) and all(r.start_timestamp == r.end_timestamp == 5.0 for r in by["d"])
     assert split_items(spark.createDataFrame([], S)).count() == 0
+
+
+def test_rows_without_an_id_are_not_folded(spark):
+    long = " ".join(f"w{i}." for i in range(200))
+    rows = [(None, "one two.", 0.0, 1.0, 0, ""), (None, "one two.", 0.0, 1.0, 1, ""), (None, "three.", 0.0, 1.0, 0, ""), (None, "three.", 5.0, 6.0, 0, ""), (None, long, None, float("nan"), 0, ""), (None, None, 0.0, 1.0, 0, ""), ("a", "four.", 0.0, 1.0, 0, ""), ("a", "four.", 0.0, 1.0, 2, "")]
+    df = spark.createDataFrame(rows, S)
+    assert sorted(r.text for r in split_items(df).filter("piece = 0").collect() if r.n_words < 9) == ["four.", "one two.", "three.", "three."]
+    assert split_items(df).filter("piece = 0 AND n_words = 200").count() == 1
+    assert split_items(df, content=["text"]).filter("piece = 0").count() == 4

@@ -92,12 +92,13 @@ WHERE shared >= (x.n + y.n - shared) * CASE WHEN c.kind = 'title' THEN 0.6 ELSE
 """
 
 
-def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.split_items(spread(table(spark, sf_dir, "retrieval_chunk")))
+def _pieces(spark: SparkSession, sf_dir: str, content: list[str] | None = None) -> DataFrame:
+    return split.split_items(spread(table(spark, sf_dir, "retrieval_chunk")), content=content)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pieces(spark, sf_dir).filter("n_words > 150 AND piece = 0").select("chunk_id", "cut")
+    found = _pieces(spark, sf_dir, ["text"])  # chunks without an id are told apart by their text, as in the SQL
+    return found.filter("n_words > 150 AND piece = 0").select("chunk_id", "cut")
 
 
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +123,9 @@ def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("language_code"), F.col("text").alias("raw_text"))
     labelled = rows.select("language_code", "raw_text").unionByName(docs)
     model = language.fit_on(labelled, "raw_text", "language_code", table(spark, sf_dir, "common_word"))
-    once = spread(rows.dropDuplicates(["transcript_id"])).select(F.struct("transcript_id", "language_code").alias("row"), "raw_text")
+    # A null id folds only repeats of the same text and label.
+    once = rows.withColumn("c", split.content_key("transcript_id", ["language_code", "raw_text"])).dropDuplicates(["transcript_id", "c"]).drop("c")
+    once = spread(once).select(F.struct("transcript_id", "language_code").alias("row"), "raw_text")
     found = language.detect(once, "row", "raw_text", model)
     return found.select("row.transcript_id", language.named_language("row.language_code").alias("named"), "d")
 

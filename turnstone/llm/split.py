@@ -103,14 +103,21 @@ def split_text(text: str | None, limit: int = 150, overlap: int = 20) -> dict:
     return {"n_words": n, "cut": cut, "pieces": pieces}
 
 
-def split_items(df: DataFrame, item_id: str = "chunk_id", text: str = "text", start: str = "start_timestamp", end: str = "end_timestamp", limit: int = 150, overlap: int = 20) -> DataFrame:
+def content_key(row_id: str, content: list[str]):
+    """What tells rows without an id apart; null where there is an id, so that the id alone counts."""
+    return F.when(F.col(f"`{row_id}`").isNull(), F.struct(*[F.col(f"`{c}`") for c in content]))
+
+
+def split_items(df: DataFrame, item_id: str = "chunk_id", text: str = "text", start: str = "start_timestamp", end: str = "end_timestamp", limit: int = 150, overlap: int = 20, content: list[str] | None = None) -> DataFrame:
     """``item_id, n_words, cut, piece, text, first_word, piece_words, overlap, forced, start, end`` of every piece.
 
     A piece has at most ``limit`` words, of which the first ``overlap`` repeat the end of the piece before. The time
     of the item is shared out by its own words; null, NaN or reversed times give pieces without times, equal ones give
     every piece the same time. ``cut``: 'none' (within the limit), 'natural', or 'forced' if somewhere more than
     ``limit`` words follow one another without a natural boundary. Null and blank texts have no pieces; an item that
-    is delivered repeatedly (same id) is split once. Other columns are left out, whatever their names.
+    is delivered repeatedly (same id) is split once. Items without an id are told apart by the columns of ``content``,
+    by default text and times: a null id folds nothing but repeats of the same content. Other columns are left out,
+    whatever their names.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and below limit")
@@ -119,7 +126,9 @@ def split_items(df: DataFrame, item_id: str = "chunk_id", text: str = "text", st
     def pieces(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([split_text(t, limit, overlap) for t in texts], columns=["n_words", "cut", "pieces"])
 
-    items = df.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{text}`").alias("x"), F.col(f"`{start}`").cast("double").alias("a"), F.col(f"`{end}`").cast("double").alias("b")).dropDuplicates(["i"])
+    items = df.select(
+        F.col(f"`{item_id}`").alias("i"), F.col(f"`{text}`").alias("x"), F.col(f"`{start}`").cast("double").alias("a"), F.col(f"`{end}`").cast("double").alias("b"), content_key(item_id, content or [text, start, end]).alias("c")
+    ).dropDuplicates(["i", "c"])
     timed = F.col("a").isNotNull() & F.col("b").isNotNull() & ~F.isnan("a") & ~F.isnan("b") & (F.col("b") >= F.col("a"))
     rows = items.withColumn("r", pieces("x")).select("i", "a", "b", "r.n_words", "r.cut", F.explode("r.pieces").alias("p"))
     at = lambda share: F.when(timed, F.round(F.col("a") + (F.col("b") - F.col("a")) * F.col(share), 3))

@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 from pyspark.sql import types as T
@@ -93,3 +94,16 @@ def test_whole_table_against_loop(spark):
     got = sorted((tuple(r) for r in p1_found(spark, d).collect()), key=str)
     assert got == expected
     assert isinstance(p1_found(spark, d).schema["speaker_id"].dataType, T.LongType)
+
+
+def test_overlaps_of_any_length():
+    words = [f"w{i}" for i in range(200)]
+    for k in (40, 41, 90, 200):
+        assert turns.merge_rolling([" ".join(words), " ".join(words[-k:]).upper() + " and on"]) == " ".join([*words, "and", "on"])
+    assert turns.merge_rolling([" ".join(words)] * 3) == " ".join(words)
+    r = random.Random(3)
+    for _ in range(2000):
+        a, b = ([r.choice("ab") for _ in range(r.randrange(12))] for _ in range(2))
+        k = max((k for k in range(min(len(a), len(b)) + 1) if a[len(a) - k :] == b[:k]), default=0)
+        assert turns._overlap(a, b) == k
+        assert turns.merge_rolling([" ".join(a), " ".join(b)]) == " ".join(a + b[k if k >= 3 else 0 :])

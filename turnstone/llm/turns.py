@@ -21,21 +21,38 @@ SALT = 16
 BUCKET_SECONDS = 600.0
 
 
-def merge_rolling(texts: list[str], least: int = 3, most: int = 40) -> str:
+def _overlap(before: list[str], new: list[str]) -> int:
+    """How many words at the end of ``before`` are the first of ``new``, at most; linear in the length of ``new``."""
+    if not new:
+        return 0
+    border = [0] * len(new)  # prefix function of Knuth, Morris and Pratt
+    k = 0
+    for i in range(1, len(new)):
+        while k and new[i] != new[k]:
+            k = border[k - 1]
+        k += new[i] == new[k]
+        border[i] = k
+    k = 0
+    for word in before[-len(new) :]:
+        while k and (k == len(new) or word != new[k]):
+            k = border[k - 1]
+        k += word == new[k]
+    return k
+
+
+def merge_rolling(texts: list[str], least: int = 3) -> str:
     """Joins texts, leaving out from each the words that repeat the end of what came before.
 
-    The longest overlap of ``least`` to ``most`` words counts, compared without case.
+    The longest overlap of at least ``least`` words counts, however long, compared without case.
     """
     words: list[str] = []
     low: list[str] = []
     for text in texts:
         new = (text or "").split()
         new_low = [w.lower() for w in new]
-        cut = 0
-        for k in range(min(most, len(new), len(words)), least - 1, -1):
-            if low[-k:] == new_low[:k]:
-                cut = k
-                break
+        cut = _overlap(low, new_low)
+        if cut < least:
+            cut = 0
         words += new[cut:]
         low += new_low[cut:]
     return " ".join(words)

@@ -107,3 +107,8 @@ def test_overlaps_of_any_length():
         k = max((k for k in range(min(len(a), len(b)) + 1) if a[len(a) - k :] == b[:k]), default=0)
         assert turns._overlap(a, b) == k
         assert turns.merge_rolling([" ".join(a), " ".join(b)]) == " ".join(a + b[k if k >= 3 else 0 :])
+
+
+def test_found_turns_are_built_with_their_texts(spark):
+    plan = p1_found(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_rolling" in plan

@@ -9,14 +9,15 @@ from turnstone.llm import language, mix, nearest, neardup, quality, split, token
 from turnstone.session import current_rows, spread, table
 
 
-def _turns(spark: SparkSession, sf_dir: str, pause_share: float | None = None, with_text: bool = True) -> DataFrame:
+def _turns(spark: SparkSession, sf_dir: str, pause_share: float | None = None) -> DataFrame:
     columns = ["seg_id", "source_id", "text", "start", "duration", "speaker", "ingested_at"]
     segments = current_rows(table(spark, sf_dir, "transcript_segment").select(*columns), "seg_id")
-    return turns.speaker_turns(segments, table(spark, sf_dir, "speaker_roster"), pause_share, with_text=with_text)
+    return turns.speaker_turns(segments, table(spark, sf_dir, "speaker_roster"), pause_share)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _turns(spark, sf_dir, with_text=False).filter("speaker_id IS NOT NULL")
+    # Whole turns with their clean texts: every turn has a text, and asking for it keeps the planner from leaving it out.
+    found = _turns(spark, sf_dir).filter("speaker_id IS NOT NULL AND text IS NOT NULL")
     return found.select("source_id", "first_seg_id", "last_seg_id", "speaker_id")
 
 

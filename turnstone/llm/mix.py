@@ -163,8 +163,10 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
 
     rates: ``doc_id, domain, tokens, rate`` for every row with tokens; ``rate`` is the expected number of uses. report:
     one row per target: ``source, target_share, max_repeats, corpus_tokens, own_tokens, goal_tokens, fitted_tokens,
-    own_fitted_tokens, actual_share, short``. ``short``: the source's own documents stay below its goal in the fit, and
-    would even with every one used ``max_repeats`` times (whole tokens decide).
+    own_fitted_tokens, actual_share, short``. ``short``: the source's own documents stay below its goal
+    even with every one used ``max_repeats`` times. This exact test of capacity alone decides: a fitted rate is at most
+    ``max_repeats``, so the fit stays below the goal too. Candidates taken from the fit would miss sources whose goal
+    documents of unknown source fill.
 
     All rows count, repeated ones too. Null and empty texts have no tokens. Documents without a known source have no
     domain of their own: with ``soft`` = 0 they take no part in the mix (their tokens still count in the corpus), with
@@ -192,7 +194,7 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
     for i, (s, share, c) in enumerate(wanted):
         mine = own.get(s) or 0
         fitted = mine * float(rates(np.eye(len(wanted))[[i]], np.array([float(c)]), history)[0])
-        short = fitted < goal[i] and mine * c < share * total
+        short = mine * c < share * total
         report.append((s, share, c, int(corpus), int(mine), float(goal[i]), float(reached[i]), fitted, float(reached[i]) / everything if everything else 0.0, bool(short)))
     schema = "source string, target_share double, max_repeats int, corpus_tokens bigint, own_tokens bigint, goal_tokens double, fitted_tokens double, own_fitted_tokens double, actual_share double, short boolean"
 

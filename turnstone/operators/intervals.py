@@ -2,8 +2,8 @@
 
 The aggregate's state is a sorted list of disjoint intervals, kept as a sorted run of rows of one (entity, time
 bucket). Lists are built inside the map tasks (so a hot entity or a third of all rows being copies shrinks before the
-shuffle), combined by a streaming linear merge per bucket, and stitched together across buckets by a scan over one
-summary row per bucket. At most ``bucket_ms / 2`` disjoint intervals fit into one bucket, so no task ever holds an
+shuffle), brought together by Spark's sort and one scan per bucket (in place of a reduction tree of pairwise merges),
+and stitched together across buckets by a scan over one summary row per bucket. At most ``bucket_ms / 2`` disjoint intervals fit into one bucket, so no task ever holds an
 unbounded list, whatever share of the rows one entity has.
 """
 
@@ -49,7 +49,7 @@ def _partial_lists(by: list[str]):
 
 
 def _merge_lists(by: list[str]):
-    """Linear merge of rows sorted by ``by``, s; the last interval of a batch stays open for the next batch."""
+    """Scan of rows sorted by ``by``, s; the last interval of a batch stays open for the next batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, schema = None, None
@@ -60,7 +60,7 @@ def _merge_lists(by: list[str]):
             frame = batch.to_pandas()
             if held is not None:
                 frame = pd.concat([held, frame], ignore_index=True)
-            # rows of a group arrive together, so a sort here only puts the held row in its place
+            # rows arrive sorted; the sort in _disjoint finds each batch in order
             order = [*by]
             change = np.ones(len(frame), bool)
             change[1:] = (frame[order].to_numpy()[1:] != frame[order].to_numpy()[:-1]).any(axis=1)

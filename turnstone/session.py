@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,27 +33,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application below the cluster's ``spark.checkpoint.dir``; it is deleted when the application ends.
+
+    Only where that setting is unset and all executors are on this machine (tests) a temporary folder stands in; on a
+    cluster every machine would have another one, so there the setting is required.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _TEMPORARY.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="turnstone-")
+        _TEMPORARY[context.applicationId] = base
+    folder = f"{base.rstrip('/')}/turnstone-{context.applicationId}"
+    if folder not in _FOLDERS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _FOLDERS.add(folder)
+    return folder
+
+
+_TEMPORARY: dict[str, str] = {}
+_FOLDERS: set[str] = set()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and go on from there.
+    """Write ``df`` as a table into the shared folder and go on from there.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
-    temporary folder is made.
+    Executors that are lost later cost nothing but a new read. As the table is in files, its real size is known to the
+    planner, and later reads take only the columns they need.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="turnstone-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, bytes_per_core: int = 8 << 20) -> DataFrame:
+def spread(df: DataFrame, bytes_per_core: int | None = None) -> DataFrame:
     """``df`` dealt out to all cores if it is small, else as it is.
 
     A small table is one file and one task; before work that costs far more than moving the rows, an even deal uses
-    the whole cluster. The planner's size estimate decides, nothing is executed.
+    the whole cluster. The planner's size estimate decides, nothing is executed; rows are the same either way.
+    ``bytes_per_core`` is by default the setting ``spark.turnstone.spreadBytesPerCore``; 0 never deals.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    if bytes_per_core is None:
+        bytes_per_core = int(spark.conf.get("spark.turnstone.spreadBytesPerCore", str(8 << 20)))
+    if not bytes_per_core:
+        return df
+    cores = spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * bytes_per_core else df
 
@@ -60,12 +90,14 @@ def spread(df: DataFrame, bytes_per_core: int = 8 << 20) -> DataFrame:
 def current_rows(df: DataFrame, key: str | list[str], version: str = "ingested_at") -> DataFrame:
     """One row per key: the one with the latest ``version`` (nulls are oldest).
 
-    Rows that tie in version are taken to be repeated deliveries; the one that is smallest as text stays. Null keys
-    form one key of their own. The rank limit is applied before the shuffle too, so repeated keys cost no more than
-    one row per map task.
+    Rows that tie in version are taken to be repeated deliveries; of these the one with the smallest hash stays. A null
+    key names nothing: rows with one are told apart by their content, and only alike ones are folded. The rank limit is
+    applied before the shuffle too, so repeated keys cost no more than one row per map task.
     """
     keys = [key] if isinstance(key, str) else list(key)
     tie = F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith(("map", "variant"))])
-    order = [F.col(version).desc_nulls_last(), tie]
-    rank = Window.partitionBy(*keys).orderBy(*order)
+    nameless = F.lit(False)
+    for k in keys:
+        nameless = nameless | F.col(f"`{k}`").isNull()
+    rank = Window.partitionBy(*keys, F.when(nameless, tie)).orderBy(F.col(version).desc_nulls_last(), tie)
     return df.withColumn("__rank", F.row_number().over(rank)).filter("__rank = 1").drop("__rank")

@@ -7,19 +7,18 @@ there and stops, which makes a stream's result comparable with the batch query.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstone.operators.catalog import upsert
+from turnstone.session import shared_folder
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder, a temporary one only where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="turnstone-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder below the cluster's shared checkpoint folder (see ``session.shared_folder``)."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 64) -> DataFrame:

@@ -75,7 +75,47 @@ def test_empty_and_long(spark):
 
 def test_bands_reach_the_recall():
     for n in (100, 10_000, 10_000_000):
-        bands, rows = choose_bands(0.5, 0.998, n, 0.07)
+        met = {r: n**2 / 2 * 0.07**r for r in range(1, 9)}
+        bands, rows = choose_bands(0.5, 0.998, n, met)
         assert 1 - (1 - 0.5**rows) ** bands >= 0.998
-    assert choose_bands(0.5, 0.998, 10_000_000, 0.07)[1] > choose_bands(0.5, 0.998, 100, 0.07)[1]
+    few, many = ({r: n**2 / 2 * 0.07**r for r in range(1, 9)} for n in (100, 10_000_000))
+    assert choose_bands(0.5, 0.998, 10_000_000, many)[1] > choose_bands(0.5, 0.998, 100, few)[1]
+    # Rows have no upper end: where pairs meet often, bands get longer than what was measured.
+    assert choose_bands(0.9, 0.99, 10**12, {r: 1e24 * 0.5**r for r in range(1, 9)})[1] > 8
     assert neardup.band_hashes(ngram_hashes(["a", "b", "c"], "word", 2), 4, 2).shape == (4,)
+
+
+def test_meetings_are_counted(spark):
+    df = spark.createDataFrame([(i, i % 3, [i % 3]) for i in range(9)], "rep long, n int, grams array<long>")
+    assert neardup.meetings(df, 4) == {r: 9.0 for r in range(1, 5)}
+
+
+def test_blocks_of_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    rows = [("hot", i, i % 4) for i in range(60)] + [("small", i, 1) for i in range(3)] + [("one", 5, 1), (None, 1, 1), (None, 2, 1)]
+    df = spark.createDataFrame(rows, "k string, i long, n int")
+    got = [(r.a, r.b, r.a_n, r.b_n) for r in neardup.pairs_within(df.filter("k IS NOT NULL"), "k", "i", ["n"]).collect()]
+    want = [(x[1], y[1], x[2], y[2]) for x, y in itertools.combinations(rows[:60], 2)] + [(x[1], y[1], 1, 1) for x, y in itertools.combinations(rows[60:63], 2)]
+    assert sorted(got) == sorted(want)
+
+
+def test_nothing_is_broadcast(spark):
+    df = spark.createDataFrame(corpus(7), S)
+    members, found = near_duplicates(df, "id", "text", Likeness("word", 3, 0.5, min_words=20))
+    for out in (all_pairs(members, found), groups(members, found)):
+        out.collect()
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs just above the threshold are found as often as the recall says."""
+    r, rows, want = random.Random(11), [], 0
+    for k in range(400):
+        base = [f"b{k}x{j}" for j in range(90)]
+        cut = 15 + r.randrange(2)
+        rows += [(2 * k, " ".join(base), "", 1), (2 * k + 1, " ".join(base[:-cut] + [f"c{k}x{j}" for j in range(cut)]), "", 1)]
+    like = Likeness("word", 3, 0.7, min_words=20)
+    want = brute(rows, like)
+    members, found = near_duplicates(spark.createDataFrame(rows, S), "id", "text", like)
+    got = {(x.id_a, x.id_b) for x in all_pairs(members, found).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) > 100

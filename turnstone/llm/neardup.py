@@ -1,8 +1,9 @@
 """Near-duplicate records with small edits: MinHash banding, then verification on full n-gram sets.
 
 Exact copies (same words) are folded into one class before anything else, so copies cost one row, however many there
-are. Band and row counts follow from the wanted recall at the threshold and the number of records. Candidates are
-pairs of classes that share a band; each is verified by the exact Jaccard coefficient of its n-gram sets.
+are. Band and row counts follow from the wanted recall at the threshold and from how many pairs of the collection are
+measured to meet in a band of so many rows. Candidates are pairs of classes that share a band; each is verified by the
+exact Jaccard coefficient of its n-gram sets.
 """
 
 from __future__ import annotations
@@ -18,10 +19,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from turnstone.session import cut_lineage, spread
 
 _WORDS = regex.compile(r"[\p{L}\p{N}]+")
+#: What a pair that meets in a band costs, in band rows.
+PAIR_COST = 8.0
+#: Rows of a band whose meetings are measured.
+MEASURED = 8
+#: Rows of one key that are paired in one block; larger groups are cut into blocks and the blocks are paired.
+BLOCK = 2_000
 
 
 @dataclass(frozen=True)
@@ -34,8 +42,6 @@ class Likeness:
     #: Texts with fewer words take no part.
     min_words: int = 1
     recall: float = 0.998
-    #: Likeness of unrelated records that should rarely become candidates.
-    background: float = 0.07
 
 
 def plain_words(text: str | None) -> list[str]:
@@ -66,19 +72,26 @@ def ngram_hashes(words: list[str], unit: str, n: int) -> np.ndarray:
     return np.unique(h)
 
 
-def choose_bands(threshold: float, recall: float, records: int, background: float) -> tuple[int, int]:
+def choose_bands(threshold: float, recall: float, records: int, meetings: dict[int, float]) -> tuple[int, int]:
     """(bands, rows): of all that find a pair at the threshold with at least ``recall``, the cheapest.
 
-    Cost counts the band rows to shuffle and the pairs of unrelated records to verify.
+    ``meetings``: for 1, 2, 3 ... rows, how many pairs of the collection meet in one band of so many rows, as measured
+    over all records. Beyond the last number it falls as it did before, so the rows have no upper end. Cost counts the
+    band rows to shuffle and the pairs that meet in a band.
     """
     best = None
-    for rows in range(1, 9):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
-        chance = -math.expm1(bands * math.log1p(-(background**rows)))
-        cost = records * bands + records**2 / 2 * chance * 40
+    known = max(meetings)
+    fall = min(meetings[known] / meetings[known - 1], 0.9) if known - 1 in meetings and meetings[known - 1] else 0.5
+    rows = 0
+    while True:
+        rows += 1
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows)))
+        pairs = meetings[rows] if rows in meetings else meetings[known] * fall ** (rows - known)
+        cost = bands * (records + PAIR_COST * pairs)
         if best is None or cost < best[0]:
             best = (cost, bands, rows)
-    return best[1], best[2]
+        elif bands * records > best[0]:
+            return best[1], best[2]
 
 
 @lru_cache(maxsize=8)
@@ -87,74 +100,140 @@ def _coefficients(k: int) -> tuple[np.ndarray, np.ndarray]:
     return r.integers(0, 2**31, k, dtype=np.uint32) * np.uint32(2) + np.uint32(1), r.integers(0, 2**32, k, dtype=np.uint32)
 
 
-def band_hashes(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit hash per band of the MinHash signature; each depends on the band's number too.
-
-    Minima are taken over 32-bit hashes of the n-grams, which processors multiply many at a time.
-    """
-    a, b = _coefficients(bands * rows)
+def _minima(grams: np.ndarray, k: int) -> np.ndarray:
+    """Minima of ``k`` hashes over the n-grams, 32 bits each, which processors multiply many at a time."""
+    a, b = _coefficients(k)
     short = (grams ^ (grams >> np.uint64(32))).astype(np.uint32)
-    low = np.full(bands * rows, np.iinfo(np.uint32).max, np.uint32)
+    low = np.full(k, np.iinfo(np.uint32).max, np.uint32)
+    for i in range(0, len(short), 2048):
+        x = short[None, i : i + 2048] * a[:, None]
+        x += b[:, None]
+        np.minimum(low, x.min(axis=1), out=low)
+    return low.astype(np.uint64)
+
+
+def band_hashes(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One 64-bit hash per band of the MinHash signature; each depends on the band's number too."""
     with np.errstate(over="ignore"):
-        for i in range(0, len(short), 2048):
-            x = short[None, i : i + 2048] * a[:, None]
-            x += b[:, None]
-            np.minimum(low, x.min(axis=1), out=low)
         h = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x94D049BB133111EB)
-        for row in low.astype(np.uint64).reshape(bands, rows).T:
+        for row in _minima(grams, bands * rows).reshape(bands, rows).T:
             h = (h ^ row) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(30)
     return h.view(np.int64)
 
 
-def classes(df: DataFrame, record_id: str, text: str, like: Likeness) -> tuple[DataFrame, DataFrame]:
-    """(``id, rep``, ``rep, text``): ``rep`` is the smallest id with the same words.
+def nested_hashes(grams: np.ndarray, most: int) -> list[int]:
+    """Hashes of a band of one row, of its first two rows, and so on up to ``most`` rows."""
+    out, h = [], 1
+    for x in _minima(grams, most).tolist():
+        h = (h ^ x) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+        h ^= h >> 30
+        out.append(h - (h >> 63 << 64))
+    return out
 
-    Records with a null id or text, with too few words, or too short for one n-gram are left out; repeated rows of an
-    id count once.
-    """
+
+def _key(like: Likeness):
     n, unit, least = like.n, like.unit, like.min_words
 
-    @F.arrow_udf(T.StringType())
+    @F.arrow_udf(T.BinaryType())
     def key(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts.to_pylist():
             w = plain_words(t)
             whole = " ".join(w)
             enough = len(w) >= least and (len(w) if unit == "word" else len(whole)) >= n
-            out.append(xxhash.xxh128_hexdigest(whole) if enough else None)
-        return pa.array(out, pa.string())
+            out.append(xxhash.xxh128_digest(whole) if enough else None)
+        return pa.array(out, pa.binary())
 
-    rows = df.select(F.col(f"`{record_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).dropna()
-    keyed = spread(rows).withColumn("key", key("text")).filter("key IS NOT NULL")
-    # Written once: memberships and signatures both start from the representatives.
-    reps = cut_lineage(keyed.groupBy("key").agg(F.min("id").alias("rep"), F.min_by("text", "id").alias("text")))
-    members = cut_lineage(keyed.select("id", "key").distinct().join(reps.select("key", "rep"), "key").groupBy("id").agg(F.min("rep").alias("rep")))
-    return members, reps.select("rep", "text")
+    return key
 
 
-def links(reps: DataFrame, like: Likeness, records: int) -> DataFrame:
-    """``a, b, shared, either``: pairs of representatives (a < b) whose n-gram sets reach the threshold."""
-    bands, rows = choose_bands(like.threshold, like.recall, max(records, 2), like.background)
+def _grams(like: Likeness):
     n, unit = like.n, like.unit
 
-    @F.arrow_udf(T.StructType([T.StructField("grams", T.ArrayType(T.LongType())), T.StructField("bands", T.ArrayType(T.LongType()))]))
-    def sign(texts: pa.Array) -> pa.Array:
-        grams, signs = [], []
-        for t in texts.to_pylist():
-            g = ngram_hashes(plain_words(t), unit, n)
-            grams.append(g.view(np.int64))
-            signs.append(band_hashes(g, bands, rows))
-        return pa.StructArray.from_arrays([pa.array(grams, pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int64()))], names=["grams", "bands"])
-
-    # Signed once and written: the band table is read by both sides of the self-join, the sets by the verification.
-    signed = cut_lineage(spread(reps).select("rep", sign("text").alias("s")).select("rep", "s.grams", "s.bands"))
-    band = signed.select("rep", F.explode("bands").alias("h"))
-    left = band.select(F.col("h"), F.col("rep").alias("a"))
-    right = band.select(F.col("h"), F.col("rep").alias("b"))
-    pairs = left.join(right, "h").filter("a < b").select("a", "b").distinct()
-    sets = signed.select("rep", "grams")
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("rep").alias("b"), F.col("grams").alias("gb")), "b")
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def grams(texts: pa.Array) -> pa.Array:
+        return pa.array([ngram_hashes(plain_words(t), unit, n).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
+
+    return grams
+
+
+def classes(df: DataFrame, record_id: str, text: str, like: Likeness) -> tuple[DataFrame, DataFrame]:
+    """(``id, rep``, ``rep, n, grams``): ``rep`` is the smallest id with the same words, ``grams`` its n-gram set.
+
+    Records with a null id or text, with too few words, or too short for one n-gram are left out; repeated rows of an
+    id count once. Copies are reduced in the map tasks; the join that gives every record its class is a merge join, of
+    which Spark splits hot keys.
+    """
+    rows = df.select(F.col(f"`{record_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).dropna()
+    # Read into words once and written: representatives and memberships both start here.
+    keyed = cut_lineage(spread(rows).withColumn("key", _key(like)("text")).filter("key IS NOT NULL"))
+    reps = keyed.groupBy("key").agg(F.min("id").alias("rep"), F.min_by("text", "id").alias("text"))
+    sets = cut_lineage(reps.select("key", "rep", _grams(like)("text").alias("grams")).withColumn("n", F.size("grams")))
+    members = keyed.select("id", "key").distinct().join(sets.select("key", "rep").hint("merge"), "key").groupBy("id").agg(F.min("rep").alias("rep"))
+    return cut_lineage(members), sets.select("rep", "n", "grams")
+
+
+def meetings(sets: DataFrame, most: int = MEASURED) -> dict[int, float]:
+    """For 1 .. ``most`` rows, how many pairs of records meet in one band of so many rows."""
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def sign(grams: pa.Array) -> pa.Array:
+        return pa.array([nested_hashes(g, most) for g in _sets_of(grams)], pa.list_(pa.int64()))
+
+    met = sets.select(F.posexplode(sign("grams")).alias("r", "h")).groupBy("r", "h").count().filter("count > 1")
+    found = met.groupBy("r").agg(F.sum(F.expr("count * (count - 1D) / 2")).alias("pairs")).collect()  # at most one row for each number of rows
+    return {r: 0.0 for r in range(1, most + 1)} | {x["r"] + 1: float(x["pairs"]) for x in found}
+
+
+def _sets_of(grams: pa.Array) -> list[np.ndarray]:
+    """The lists of an Arrow array as slices of one numpy array."""
+    flat, at = grams.values.to_numpy(), grams.offsets.to_numpy()
+    return [flat[a:b].view(np.uint64) for a, b in zip(at, at[1:])]
+
+
+def pairs_within(rows: DataFrame, key: str, item: str, carry: list[str], keep: str = "true") -> DataFrame:
+    """``a, b`` and ``carry`` of both (``a_x, b_x``): all pairs (a < b) of different ``item``s of one ``key``.
+
+    Keys that stand alone go before anything is paired. A key of many rows is cut into blocks, and every two blocks
+    meet in another task, so a hot key is shared among as many tasks as its pairs need. ``keep`` is a condition on
+    a pair's columns.
+    """
+    rows = rows.select(F.col(key).alias("h"), F.col(item).alias("x"), *carry)
+    rows = rows.withColumn("c", F.count("*").over(Window.partitionBy("h"))).filter("c > 1")
+    rows = rows.withColumn("k", F.ceil(F.col("c") / BLOCK).cast("int"))
+    # Written once, a small part of the rows: both sides of the join start here.
+    rows = cut_lineage(rows.withColumn("at", F.pmod(F.xxhash64("x"), "k").cast("int")).drop("c"))
+    side = lambda name: [F.col("x").alias(f"{name}x"), *[F.col(c).alias(f"{name}_{c}") for c in carry]]
+    left = rows.select("h", F.col("at").alias("i"), F.explode(F.sequence("at", F.col("k") - 1)).alias("j"), *side("p"))
+    right = rows.select("h", F.explode(F.sequence(F.lit(0), "at")).alias("i"), F.col("at").alias("j"), *side("q"))
+    both = left.hint("merge").join(right, ["h", "i", "j"]).filter("px <> qx AND (i < j OR px < qx)")
+    first = F.col("px") < F.col("qx")
+    columns = [F.least("px", "qx").alias("a"), F.greatest("px", "qx").alias("b")]
+    for c in carry:
+        columns += [F.when(first, F.col(f"p_{c}")).otherwise(F.col(f"q_{c}")).alias(f"a_{c}"), F.when(first, F.col(f"q_{c}")).otherwise(F.col(f"p_{c}")).alias(f"b_{c}")]
+    return both.select(*columns).filter(keep)
+
+
+def links(sets: DataFrame, like: Likeness) -> DataFrame:
+    """``a, b, shared, either``: pairs of representatives (a < b) whose n-gram sets reach the threshold.
+
+    No side of a join is broadcast, whatever the planner takes its size for. Pairs whose sets are too unequal in size
+    to reach the threshold go before their sets are fetched.
+    """
+    bands, rows = choose_bands(like.threshold, like.recall, max(sets.count(), 2), meetings(sets))
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def sign(grams: pa.Array) -> pa.Array:
+        signs = [band_hashes(g, bands, rows) for g in _sets_of(grams)]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(signs) + 1) * bands, pa.int32()), pa.array(np.concatenate([*signs, np.empty(0, np.int64)])))
+
+    band = sets.select("rep", "n", F.explode(sign("grams")).alias("h"))
+    near = f"least(a_n, b_n) >= greatest(a_n, b_n) * {like.threshold!r}D"
+    pairs = pairs_within(band, "h", "rep", ["n"], near).select("a", "b").distinct()
+    left = sets.select(F.col("rep").alias("a"), F.col("grams").alias("ga")).hint("merge")
+    right = sets.select(F.col("rep").alias("b"), F.col("grams").alias("gb")).hint("merge")
+    both = pairs.join(left, "a").join(right, "b")
     both = both.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("shared"), (F.size("ga") + F.size("gb")).alias("total"))
     both = both.select("a", "b", "shared", (F.col("total") - F.col("shared")).alias("either"))
     return both.filter(F.col("shared") >= F.col("either") * F.lit(like.threshold))
@@ -162,15 +241,19 @@ def links(reps: DataFrame, like: Likeness, records: int) -> DataFrame:
 
 def near_duplicates(df: DataFrame, record_id: str, text: str, like: Likeness) -> tuple[DataFrame, DataFrame]:
     """(members, links): each record's class, and the verified links between representatives of classes."""
-    members, reps = classes(df, record_id, text, like)
-    return members, links(reps, like, df.count())
+    members, sets = classes(df, record_id, text, like)
+    return members, links(sets, like)
 
 
 def all_pairs(members: DataFrame, found: DataFrame) -> DataFrame:
-    """``id_a, id_b``: every pair of different records that are copies or linked, smaller id first."""
-    a = members.select(F.col("rep").alias("a"), F.col("id").alias("x"))
-    b = members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
-    copies = a.join(b, F.col("a") == F.col("b")).filter("x < y").select(F.col("x").alias("id_a"), F.col("y").alias("id_b"))
+    """``id_a, id_b``: every pair of different records that are copies or linked, smaller id first.
+
+    A class of m copies has m * (m - 1) / 2 pairs, which are made block by block; where they are not wanted, the links
+    and the memberships of ``near_duplicates`` say the same in m rows.
+    """
+    copies = pairs_within(members, "rep", "id", []).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+    a = members.select(F.col("rep").alias("a"), F.col("id").alias("x")).hint("merge")
+    b = members.select(F.col("rep").alias("b"), F.col("id").alias("y")).hint("merge")
     linked = found.select("a", "b").join(a, "a").join(b, "b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     return copies.unionByName(linked)
 
@@ -181,18 +264,20 @@ def groups(members: DataFrame, found: DataFrame) -> DataFrame:
     Smallest ids spread along the links and are followed to their own smallest id in every round, so the number of
     rounds grows with the logarithm of a group's diameter. Nothing but a count of changes reaches the driver.
     """
-    edges = cut_lineage(found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    found = cut_lineage(found.select("a", "b"))
+    edges = cut_lineage(found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     label = cut_lineage(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")))
     while True:
-        near = edges.join(label.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        step = label.join(near, "a").select("a", F.least("l", "m").alias("n"), F.col("l").alias("was"))
-        jump = step.join(step.select(F.col("a").alias("n"), F.col("n").alias("j")), "n", "left")
+        near = edges.join(label.select(F.col("a").alias("b"), "l").hint("merge"), "b").groupBy("a").agg(F.min("l").alias("m"))
+        step = label.join(near.hint("merge"), "a").select("a", F.least("l", "m").alias("n"), F.col("l").alias("was"))
+        step = cut_lineage(step)
+        jump = step.join(step.select(F.col("a").alias("n"), F.col("n").alias("j")).hint("merge"), "n", "left")
         new = cut_lineage(jump.select("a", F.least("n", F.coalesce("j", "n")).alias("l"), "was"))
         changed = new.filter("l <> was").limit(1).count()
         label = new.select("a", "l")
         if not changed:
             break
     counts = edges.groupBy("a").agg(F.count("*").alias("n_links"))
-    info = counts.join(label, "a")
-    out = members.join(info, members["rep"] == info["a"], "left")
+    info = counts.join(label.hint("merge"), "a")
+    out = members.join(info.hint("merge"), members["rep"] == info["a"], "left")
     return out.select("id", F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("l", "rep").alias("group_id"))

@@ -45,3 +45,11 @@ def test_hot_entity_and_copies(spark):
 
 def test_empty(spark):
     assert run(spark, [], [], 1.0) == set() and run(spark, [("a", "a", 1.0, 1)], [], 1.0) == set() and run(spark, [], [(1, "a", 1.0, "")], 1.0) == set()
+
+
+def test_repeated_left_ids_do_not_depend_on_groups(spark):
+    left = [("same", "a", 10.0, 1), ("same", "a", 10.0, 2), ("same", "a", 4000.0, 1), ("same", "b", 10.0, 1)]
+    right = [(1, "a", 10.5, ""), (2, "a", 4000.5, ""), (3, "b", 9.5, ""), (1, "a", 10.5, "copy")]
+    for groups in (1, 97):
+        out = nearest_in_time(spark.createDataFrame(left, L), spark.createDataFrame(right, R), "who", "id", "at", "seg", "start", 1.0, groups=groups)
+        assert sorted(r.seg for r in out.collect()) == [1, 2, 3]

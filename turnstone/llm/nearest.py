@@ -17,10 +17,10 @@ GROUP_ROWS = 60_000
 
 _ASOF = """
 WITH near AS (SELECT k, t, min(i) AS i FROM r GROUP BY k, t),
-back AS (SELECT l.i AS li, n.i AS ri, l.t - n.t AS d FROM l ASOF JOIN near n ON l.k = n.k AND l.t >= n.t),
-ahead AS (SELECT l.i AS li, n.i AS ri, n.t - l.t AS d FROM l ASOF JOIN near n ON l.k = n.k AND l.t <= n.t)
+back AS (SELECT l.k, l.t, l.i AS li, n.i AS ri, l.t - n.t AS d FROM l ASOF JOIN near n ON l.k = n.k AND l.t >= n.t),
+ahead AS (SELECT l.k, l.t, l.i AS li, n.i AS ri, n.t - l.t AS d FROM l ASOF JOIN near n ON l.k = n.k AND l.t <= n.t)
 SELECT li, arg_min(ri, (d, side)) AS ri, min(d) AS d
-FROM (SELECT *, 0 AS side FROM back UNION ALL SELECT *, 1 AS side FROM ahead) WHERE d <= $tolerance GROUP BY li
+FROM (SELECT *, 0 AS side FROM back UNION ALL SELECT *, 1 AS side FROM ahead) WHERE d <= $tolerance GROUP BY k, t, li
 """
 
 
@@ -42,7 +42,8 @@ def nearest_in_time(
     Times are doubles in seconds, compared as whole microseconds. Rows with a null entity, id or time (NaN and
     infinities included) take no part; left rows with nothing near enough are left out. Between an earlier and a
     later right row at the same distance the earlier wins, among right rows of one time the smallest id. A left id
-    that is repeated gives one row per different time. Both tables may be empty, and columns not named are ignored.
+    that is repeated gives one row per different entity and time, however the groups fall. Right rows of one time
+    are folded into one before they are moved. Both tables may be empty, and columns not named are ignored.
 
     ``groups``: number of Arrow groups; by default from the row counts, ``GROUP_ROWS`` rows each. Where the inputs
     are costly to count, give ``groups_for`` an estimate.
@@ -54,6 +55,7 @@ def nearest_in_time(
     width = max(round(bucket_seconds * 1_000_000), 10 * tol, 1)
     le = left.select(F.col(f"`{entity}`").cast("string").alias("e"), F.col(f"`{left_id}`").alias("i"), _micros(left_time).alias("t")).dropna()
     ri = right.select(F.col(f"`{entity}`").cast("string").alias("e"), F.col(f"`{right_id}`").alias("i"), _micros(right_time).alias("t")).dropna()
+    ri = ri.groupBy("e", "t").agg(F.min("i").alias("i")).select("e", "i", "t")
     bucket = lambda t: F.floor(t / F.lit(float(width)))
     le = le.withColumn("b", bucket(F.col("t")))
     t = F.col("t")

@@ -70,3 +70,9 @@ def test_rows_without_an_id_are_not_folded(spark):
     assert sorted(r.text for r in split_items(df).filter("piece = 0").collect() if r.n_words < 9) == ["four.", "one two.", "three.", "three."]
     assert split_items(df).filter("piece = 0 AND n_words = 200").count() == 1
     assert split_items(df, content=["text"]).filter("piece = 0").count() == 4
+
+
+def test_rows_that_differ_give_one_defined_result(spark):
+    rows = [("a", "one two.", 0.0, 1.0, 0, ""), ("a", "three four.", 5.0, 6.0, 0, ""), ("a", None, 5.0, 6.0, 0, "")]
+    for order in (rows, rows[::-1]):
+        assert [(r.text, r.start_timestamp) for r in split_items(spark.createDataFrame(order, S).repartition(3)).collect()] == [("three four.", 5.0)]

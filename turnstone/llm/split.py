@@ -48,16 +48,12 @@ def boundary_strengths(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
-def longest_run(strengths: np.ndarray) -> int:
-    """Most words that follow one another without a natural boundary between them."""
-    if not len(strengths):
-        return 0
-    ends = np.flatnonzero(strengths[:-1] >= 2)
-    return int(np.diff(np.concatenate(([-1], ends, [len(strengths) - 1]))).max())
+def cut_points(strengths: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int]]:
+    """Cuts as (words before the cut, words of the stretch that had no natural boundary to cut at, else 0), in order.
 
-
-def cut_points(strengths: np.ndarray, limit: int, overlap: int) -> list[tuple[int, bool]]:
-    """Cuts as (words before the cut, forced), in order."""
+    Natural boundaries are used up before a stretch is cut elsewhere, so the first such cut of a stretch sees it whole,
+    from one natural boundary (or end of the text) to the next.
+    """
     n, cuts, todo = len(strengths), [], [(0, len(strengths))]
     natural = np.flatnonzero(strengths >= 2) + 1
     clause = np.flatnonzero(strengths >= 1) + 1
@@ -68,13 +64,13 @@ def cut_points(strengths: np.ndarray, limit: int, overlap: int) -> list[tuple[in
         mid, quarter = (lo + hi) / 2, (hi - lo) / 4
         inside = natural[np.searchsorted(natural, lo + 1) : np.searchsorted(natural, hi)]
         near = inside[np.abs(inside - mid) <= quarter]
-        forced = False
+        forced = 0
         if len(near):
             best = near[np.lexsort((near, np.abs(near - mid), -strengths[near - 1].astype(int)))[0]]
         elif len(inside):
             best = inside[np.argmin(np.abs(inside - mid))]
         else:
-            forced = True
+            forced = hi - lo
             soft = clause[np.searchsorted(clause, lo + 1) : np.searchsorted(clause, hi)]
             soft = soft[np.abs(soft - mid) <= quarter]
             best = soft[np.argmin(np.abs(soft - mid))] if len(soft) else (lo + hi) // 2
@@ -94,12 +90,12 @@ def split_text(text: str | None, limit: int = 150, overlap: int = 20) -> dict:
     else:
         strengths = boundary_strengths(text, spans)
         cuts = cut_points(strengths, limit, overlap)
-        cut = "forced" if longest_run(strengths) > limit else "natural"
-    edges = [(0, False), *cuts, (n, False)]
+        cut = "forced" if any(run > limit for _, run in cuts) else "natural"
+    edges = [(0, 0), *cuts, (n, 0)]
     pieces = []
     for p, ((lo, _), (hi, forced)) in enumerate(zip(edges, edges[1:])):
         lead = min(overlap, lo) if p else 0
-        pieces.append({"piece": p, "text": text[spans[lo - lead][0] : spans[hi - 1][1]], "first_word": lo - lead, "n_words": hi - lo + lead, "overlap": lead, "forced": forced, "share_from": lo / n, "share_to": hi / n})
+        pieces.append({"piece": p, "text": text[spans[lo - lead][0] : spans[hi - 1][1]], "first_word": lo - lead, "n_words": hi - lo + lead, "overlap": lead, "forced": bool(forced), "share_from": lo / n, "share_to": hi / n})
     return {"n_words": n, "cut": cut, "pieces": pieces}
 
 
@@ -113,9 +109,9 @@ def split_items(df: DataFrame, item_id: str = "chunk_id", text: str = "text", st
 
     A piece has at most ``limit`` words, of which the first ``overlap`` repeat the end of the piece before. The time
     of the item is shared out by its own words; null, NaN or reversed times give pieces without times, equal ones give
-    every piece the same time. ``cut``: 'none' (within the limit), 'natural', or 'forced' if somewhere more than
-    ``limit`` words follow one another without a natural boundary. Null and blank texts have no pieces; an item that
-    is delivered repeatedly (same id) is split once. Items without an id are told apart by the columns of ``content``,
+    every piece the same time. ``cut``: 'none' (within the limit), 'natural', or 'forced' if the bisection met a stretch
+    of more than ``limit`` words without a natural boundary in it. Null and blank texts have no pieces; an item that
+    is delivered repeatedly (same id) is split once; if its rows differ, the greatest text (then times) counts. Items without an id are told apart by the columns of ``content``,
     by default text and times: a null id folds nothing but repeats of the same content. Other columns are left out,
     whatever their names.
     """
@@ -128,7 +124,8 @@ def split_items(df: DataFrame, item_id: str = "chunk_id", text: str = "text", st
 
     items = df.select(
         F.col(f"`{item_id}`").alias("i"), F.col(f"`{text}`").alias("x"), F.col(f"`{start}`").cast("double").alias("a"), F.col(f"`{end}`").cast("double").alias("b"), content_key(item_id, content or [text, start, end]).alias("c")
-    ).dropDuplicates(["i", "c"])
+    )
+    items = items.groupBy("i", "c").agg(F.max(F.struct("x", "a", "b")).alias("r")).select("i", "r.*")
     timed = F.col("a").isNotNull() & F.col("b").isNotNull() & ~F.isnan("a") & ~F.isnan("b") & (F.col("b") >= F.col("a"))
     rows = items.withColumn("r", pieces("x")).select("i", "a", "b", "r.n_words", "r.cut", F.explode("r.pieces").alias("p"))
     at = lambda share: F.when(timed, F.round(F.col("a") + (F.col("b") - F.col("a")) * F.col(share), 3))

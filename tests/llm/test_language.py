@@ -85,3 +85,23 @@ def test_whole_table(spark):
 
     rows = p5_found(spark, "/root/testdata/sf0.001").collect()
     assert rows and {r.kind for r in rows} <= {"missing", "wrong", "mixed"} and all(r.language in L.CODES for r in rows)
+
+
+def test_labels_inside_the_jvm(spark):
+    codes = ["en", "EN-us", " eng ", "en_AU", "ger", "Deutsch", "Hindi", "por-BR", "ja", "und", "", None, "unknown", "n/a", "-", "\u00a0de\u00a0"]
+    df = spark.createDataFrame([(c,) for c in codes], "c string").select("c", L._named("c").alias("n"))
+    assert [r.n for r in df.collect()] == [x if (x := L.language_of_code(c)) in L.CODES else None for c in codes]
+
+
+def test_sample_holds_copies_once(spark, monkeypatch):
+    r, seen = random.Random(6), []
+    monkeypatch.setattr(L, "fit", lambda samples, langs, words: seen.append((samples, words)))
+    rows = [("the same text again and again", "en")] * 500 + [(talk(r, "de", 20), f"de-{i}") for i in range(40)] + [(None, "en"), ("x", "zz")]
+    seeds = spark.createDataFrame([("en", "the"), ("en", "the"), (None, "x")], "lang string, word string")
+    L.fit_on(spark.createDataFrame(rows, "t string, c string"), "t", "c", seeds, rows=1000)
+    samples, words = seen[0]
+    assert len(samples) == 41 and words == {"en": ["the"]}
+    import pytest
+
+    with pytest.raises(ValueError):
+        L.fit_on(spark.createDataFrame(rows, "t string, c string"), "t", "c", seeds, most_seeds=0)

@@ -16,13 +16,16 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 #: Labelled rows per language that the classifiers are fitted on: all up to this number, beyond it about this number,
-#: drawn evenly by the hash of the text. Texts over ``FIT_CHARS`` are not drawn.
+#: drawn evenly by the hash of the text, copies once. Texts over ``FIT_CHARS`` are not drawn.
 FIT_ROWS = 150
+#: Seed words at most; a larger table is refused.
+FIT_SEEDS = 100_000
 FIT_CHARS = 20_000
 BUCKETS = 1 << 16
 BITS = 15
@@ -276,22 +279,33 @@ def named_language(codes: pa.Array) -> pa.Array:
     return pa.array([language_of_code(c) for c in codes.to_pylist()], pa.string())
 
 
-def fit_on(labelled: DataFrame, text: str, code: str, seeds: DataFrame | None = None, rows: int = FIT_ROWS) -> Model:
-    """A model fitted on a bounded sample of labelled rows (see ``FIT_ROWS``); ``seeds`` has ``lang, word``."""
-    known = labelled.select(F.col(text).alias("x"), F.col(code).alias("code")).filter(F.col("x").isNotNull() & (F.length("x") <= FIT_CHARS))
-    per_code = known.filter("code IS NOT NULL").groupBy("code").count().collect()  # spellings of codes: few
-    have: dict[str, int] = {}
-    for r in per_code:
-        if (lang := language_of_code(r["code"])) in CODES:
-            have[lang] = have.get(lang, 0) + r["count"]
-    share = {r["code"]: min(1.0, rows / have[lang]) for r in per_code if (lang := language_of_code(r["code"])) in CODES}
+def _named(code: str) -> Column:
+    """The language of ``CODES`` that a label names, as ``language_of_code``, inside the JVM; null for any other label."""
+    first = F.get(F.split(F.lower(F.trim(F.regexp_replace(code, r"(?U)^\s+|\s+$", ""))), r"[-_\s.,;/()@]"), F.lit(0))
+    return F.element_at(F.create_map(*[F.lit(x) for pair in _NAMES.items() for x in pair]), first)
+
+
+def fit_on(labelled: DataFrame, text: str, code: str, seeds: DataFrame | None = None, rows: int = FIT_ROWS, most_seeds: int = FIT_SEEDS) -> Model:
+    """A model fitted on a bounded sample of labelled texts (see ``FIT_ROWS``); ``seeds`` has ``lang, word``.
+
+    Copies of a text count once in the sample. A table of more than ``most_seeds`` seed words is refused.
+    """
+    known = labelled.select(F.col(text).alias("x"), _named(code).alias("lang")).filter(F.col("x").isNotNull() & (F.length("x") <= FIT_CHARS) & F.col("lang").isNotNull())
+    have = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # at most the ten languages
+    h = F.pmod(F.xxhash64("x"), F.lit(1_000_000))
     draw = F.lit(False)
-    for s in sorted(set(share.values())):
-        draw = draw | (F.col("code").isin([c for c, v in share.items() if v == s]) & (F.pmod(F.xxhash64("x"), F.lit(1_000_000)) < F.lit(round(s * 1_000_000))))
-    samples = [(words_of(r["x"]), language_of_code(r["code"])) for r in known.filter(draw).collect()]
+    for lang, n in sorted(have.items()):
+        draw = draw | ((F.col("lang") == lang) & (h < F.lit(round(min(1.0, rows / n) * 1_000_000))))
+    # Copies are folded in the map tasks; no more than twice the wanted number of a language is sent, whatever was drawn.
+    drawn = known.filter(draw).groupBy("lang", F.xxhash64("x").alias("h")).agg(F.min("x").alias("x"))
+    drawn = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "x"))).filter(F.col("nth") <= 2 * rows)
+    samples = [(words_of(r["x"]), r["lang"]) for r in drawn.collect()]
     words: dict[str, list[str]] = {}
     if seeds is not None:
-        for r in seeds.filter("lang IS NOT NULL AND word IS NOT NULL").select("lang", "word").limit(100_000).collect():
+        found = seeds.filter("lang IS NOT NULL AND word IS NOT NULL").select("lang", "word").distinct().limit(most_seeds + 1).collect()
+        if len(found) > most_seeds:
+            raise ValueError(f"more than {most_seeds} seed words")
+        for r in sorted(found):
             words.setdefault(r["lang"], []).append(r["word"])
     return fit(sorted(samples), list(CODES), words)
 

@@ -125,7 +125,9 @@ def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = rows.select("language_code", "raw_text").unionByName(docs)
     model = language.fit_on(labelled, "raw_text", "language_code", table(spark, sf_dir, "common_word"))
     # A null id folds only repeats of the same text and label.
-    once = rows.withColumn("c", split.content_key("transcript_id", ["language_code", "raw_text"])).dropDuplicates(["transcript_id", "c"]).drop("c")
+    # Of rows that differ under one id the greatest text (then code) counts.
+    key = split.content_key("transcript_id", ["language_code", "raw_text"]).alias("c")
+    once = rows.groupBy("transcript_id", key).agg(F.max(F.struct("raw_text", "language_code")).alias("r")).select("transcript_id", "r.*")
     once = spread(once).select(F.struct("transcript_id", "language_code").alias("row"), "raw_text")
     found = language.detect(once, "row", "raw_text", model)
     return found.select("row.transcript_id", language.named_language("row.language_code").alias("named"), "d")

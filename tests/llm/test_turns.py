@@ -49,8 +49,25 @@ def test_labels_and_words():
 
 
 def test_rolling_captions():
-    assert turns.merge_rolling(["hello everyone we will discuss", "we will discuss quantum mechanics", "quantum mechanics now"]) == "hello everyone we will discuss quantum mechanics quantum mechanics now"
-    assert turns.merge_rolling([]) == "" and turns.merge_rolling([None, "a b"]) == "a b"
+    assert turns.merge_rolling(["hello everyone we will discuss", "we will discuss quantum mechanics", "quantum mechanics now"]) == ["hello everyone we will discuss", "quantum mechanics", "quantum mechanics now"]
+    assert turns.merge_rolling([]) == [] and turns.merge_rolling([None, "a b"]) == ["", "a b"]
+
+
+def test_labels_of_any_length():
+    long = "Ana Maria de la Cruz Gomez y Hernandez von Hohenfels"
+    r = Roster([(1, long, "", ""), (2, "Bo Li", "", ""), (3, "X" * 300 + " Smith", "", "")])
+    assert read_segment(f"so it is {long}: hello", "Bo Li", r) == [(2, "so it is"), (1, "hello")]
+    assert read_segment("word " * 400 + f"{long}: hello", None, r)[1] == (1, "hello")
+    assert read_segment("X" * 300 + " Smith: yes", None, r) == [(3, "yes")]
+    assert read_segment("[" + "x " * 200 + "] *" + "long note " * 20 + "* yes", "Bo Li", r) == [(2, "yes")]
+
+
+def test_hot_sources_are_bounded_and_split(spark):
+    rows = [("hot",)] * 500 + [(f"s{i}",) for i in range(500)] + [(None,)] * 5
+    hot = turns.hot_sources(spark.createDataFrame(rows, "source_id string"), split=10)
+    assert hot == {"hot": 20} and len(turns.hot_sources(spark.createDataFrame(rows, "source_id string"))) <= 1000
+    rows = [("a", float(i), i, f"word {i}", "S1" if i % 2 else None) for i in range(50)]
+    assert sorted(map(str, run(spark, rows, hot={"a": 7}).collect())) == sorted(map(str, run(spark, rows, hot={}).collect()))
 
 
 def test_turns_across_buckets_ties_and_nulls(spark):
@@ -71,14 +88,17 @@ def test_turns_across_buckets_ties_and_nulls(spark):
     ]
     got = sorted(((r.source_id, r.first_seg_id, r.last_seg_id, r.speaker_id) for r in run(spark, rows).filter("speaker_id IS NOT NULL").collect()), key=str)
     assert got == brute(rows, PEOPLE)
-    text = {r.first_seg_id: r.text for r in run(spark, rows).collect()}
+    text = {r.first_seg_id: " ".join(u.text for u in r.utterances) for r in run(spark, rows).collect()}
     assert text[5] == "one two three goes on still the same" and text[16] == "nobody knows"
 
 
-def test_pause_splits_turn(spark):
-    rows = [("a", float(i), i, f"word {i}", "S1") for i in range(20)] + [("a", 60.0, 30, "after the pause", None)]
-    got = [(r.first_seg_id, r.last_seg_id, r.speaker_id) for r in run(spark, rows, pause_share=0.9).orderBy("start").collect()]
-    assert got == [(0, 19, 1), (30, 30, 1)]
+def test_pauses_split_turns_into_utterances(spark):
+    rows = [("a", float(i), i, f"word {i}", "S1") for i in range(20)] + [("a", 60.0, 30, "after the pause", None), ("a", 1300.0, 31, "in another bucket", None)]
+    out = run(spark, rows, pause_share=0.9)
+    assert [(r.first_seg_id, r.last_seg_id, r.speaker_id, r.n_segments) for r in out.collect()] == [(0, 31, 1, 22)]
+    said = turns.utterances(out).orderBy("start").collect()
+    assert [(r.first_seg_id, r.last_seg_id, r.speaker_id, r.n_segments, r.text.split()[-1]) for r in said] == [(0, 19, 1, 20, "19"), (30, 30, 1, 1, "pause"), (31, 31, 1, 1, "bucket")]
+    assert len(run(spark, rows, pause_share=None).first().utterances) == 1
 
 
 def test_empty(spark):
@@ -99,16 +119,17 @@ def test_whole_table_against_loop(spark):
 def test_overlaps_of_any_length():
     words = [f"w{i}" for i in range(200)]
     for k in (40, 41, 90, 200):
-        assert turns.merge_rolling([" ".join(words), " ".join(words[-k:]).upper() + " and on"]) == " ".join([*words, "and", "on"])
-    assert turns.merge_rolling([" ".join(words)] * 3) == " ".join(words)
+        assert turns.merge_rolling([" ".join(words), " ".join(words[-k:]).upper() + " and on"]) == [" ".join(words), "and on"]
+    assert turns.merge_rolling([" ".join(words)] * 3) == [" ".join(words), "", ""]
     r = random.Random(3)
     for _ in range(2000):
         a, b = ([r.choice("ab") for _ in range(r.randrange(12))] for _ in range(2))
         k = max((k for k in range(min(len(a), len(b)) + 1) if a[len(a) - k :] == b[:k]), default=0)
         assert turns._overlap(a, b) == k
-        assert turns.merge_rolling([" ".join(a), " ".join(b)]) == " ".join(a + b[k if k >= 3 else 0 :])
+        assert turns.merge_rolling([" ".join(a), " ".join(b)]) == [" ".join(a), " ".join(b[k if k >= 3 else 0 :])]
 
 
 def test_found_turns_are_built_with_their_texts(spark):
+    """The planner cannot leave the texts out: the islands are written with their utterances."""
     plan = p1_found(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
-    assert "_rolling" in plan
+    assert "utterances" in plan

@@ -9,21 +9,22 @@ from turnstone.llm import language, mix, nearest, neardup, quality, split, token
 from turnstone.session import current_rows, spread, table
 
 
-def _turns(spark: SparkSession, sf_dir: str, pause_share: float | None = None) -> DataFrame:
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["seg_id", "source_id", "text", "start", "duration", "speaker", "ingested_at"]
-    segments = current_rows(table(spark, sf_dir, "transcript_segment").select(*columns), "seg_id")
-    return turns.speaker_turns(segments, table(spark, sf_dir, "speaker_roster"), pause_share)
+    segments = table(spark, sf_dir, "transcript_segment").select(*columns)
+    hot = turns.hot_sources(segments)  # from one column, repeated deliveries included
+    return turns.speaker_turns(current_rows(segments, "seg_id"), table(spark, sf_dir, "speaker_roster"), hot=hot)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Whole turns with their clean texts: every turn has a text, and asking for it keeps the planner from leaving it out.
-    found = _turns(spark, sf_dir).filter("speaker_id IS NOT NULL AND text IS NOT NULL")
+    # Whole turns with their clean texts: asking for them keeps the planner from leaving them out.
+    found = _turns(spark, sf_dir).filter("speaker_id IS NOT NULL AND size(utterances) > 0")
     return found.select("source_id", "first_seg_id", "last_seg_id", "speaker_id")
 
 
 def p1_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean turns with their text, split at calibrated pauses too."""
-    return _turns(spark, sf_dir, pause_share=0.98)
+    return turns.utterances(_turns(spark, sf_dir))
 
 
 def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,9 @@ import html
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import islice
+
+import regex
 
 #: Fixed: hesitation sounds, compared in lower case without punctuation and with repeated letters cut to two.
 HESITATIONS = frozenset("um umm uh uhh uhm er err erm mm mmm mhm hm hmm ah ahh eh ehm äh ähm öh öhm euh heu hein".split())
@@ -21,11 +24,11 @@ _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _VOICE = re.compile(r"<v(?:\.[^\s>]*)?\s+([^<>]+)>", re.I)
 _CLOCK = r"\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?"
 _TIME = re.compile(rf"[\[(<【{{]\s*{_CLOCK}(?:\s*-->\s*{_CLOCK})?\s*[\])>】}}]|(?<![\w:.,]){_CLOCK}(?:\s*-->(?:\s*{_CLOCK})?)?(?![\w:])|-->")
-_BRACKET = re.compile(r"\[([^\[\]]*)\]|\(([^()]*)\)|【([^【】]*)】|\{([^{}]*)\}|\*([^*\n]{1,40})\*|<([^<>]*)>")
+_BRACKET = re.compile(r"\[([^\[\]]*)\]|\(([^()]*)\)|【([^【】]*)】|\{([^{}]*)\}|\*([^*\n]+)\*|<([^<>]*)>")
 _COLON = re.compile(r"[:：]")
-_MARK = re.compile(r"(?:^|(?<=\s))(?:>>+|-|–|—|•)\s*$")
-#: Characters before a colon that may be its label.
-LABEL_REACH = 160
+_BACKWARD_WORDS = regex.compile(r"(?r)\S+")
+#: What a text without any of these has: nothing but spoken words of whoever speaks.
+_SPECIAL = re.compile(r"[:：\[\](){}<>【】*&♪♫\x00]")
 _WORD = re.compile(r"[^\W_]+(?:[-'’.,_][^\W_]+)*", re.UNICODE)
 _LONG_DRAWN = re.compile(r"(.)\1{2,}")
 _NUMBERED = re.compile(r"^(?:speaker|spk|spkr|s)\s*0*(\d+)$")
@@ -81,10 +84,12 @@ class Roster:
         self.numbers = {n: next(iter(ids)) for n, ids in numbers.items() if len(ids) == 1}
         self.shared = {form for form, ids in exact.items() if len(ids) > 1}
         self.cache: dict[str, int | None] = {}
+        #: Words before a colon that can belong to its label: those of the longest form, and some that no form has.
+        self.reach = max([3, *(form.count(" ") + 1 for form in exact)]) + 2
 
     def resolve(self, label: str | None) -> int | None:
         """The speaker's id; None if the label names nobody or more than one speaker."""
-        if not label or len(label) > 120:
+        if not label:
             return None
         if label not in self.cache:
             if len(self.cache) > 5000:
@@ -137,6 +142,10 @@ def _clean(text: str) -> str:
     """Spoken text: hesitation sounds go with the punctuation that hangs on them, white space is collapsed."""
     out = []
     for token in text.replace("♪", " ").replace("♫", " ").split():
+        if token.isalpha():
+            if not is_hesitation(token):
+                out.append(token)
+            continue
         core = token.strip(".,…!?-–—;:>•\"“”")
         if core and is_hesitation(core):
             continue
@@ -147,33 +156,79 @@ def _clean(text: str) -> str:
     return " ".join(out)
 
 
-def read_segment(text: str, speaker: str | None, roster: Roster, clean: bool = True) -> list[tuple[int | None, str]]:
+def _lead(body: str, at: int) -> int:
+    """Where a mark of a new speaker (>>, a dash or a bullet) just before ``at`` begins; ``at`` if there is none."""
+    end = at
+    while end and body[end - 1].isspace():
+        end -= 1
+    start = end
+    if end and body[end - 1] in "-–—•":
+        start = end - 1
+    elif end > 1 and body[end - 1] == ">" == body[end - 2]:
+        while start and body[start - 1] == ">":
+            start -= 1
+    return start if start < end and (not start or body[start - 1].isspace()) else at
+
+
+_MARKED = re.compile(r"^(?:>>+|[-–—•])\s*")
+
+
+def _colon_labels(body: str, roster: Roster) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """Labels before a colon as (from, to, speaker), and marked labels that name nobody as (from, to).
+
+    The longest run of words of the line that ends at the colon and names a speaker is the label, however long the
+    name is; a line begins at a line break, at what was read before (nulls), or behind the last label.
+    """
+    labels, nobody, line = [], [], 0
+    before = 0
+    for m in _COLON.finditer(body):
+        line = max(line, body.rfind("\n", before, m.start()) + 1, body.rfind("\x00", before, m.start()) + 1)
+        before = m.end()
+        if m.end() < len(body) and not (body[m.end()].isspace() or body[m.end()] == "\x00" or m[0] == "：" or body[m.end()] in "<[(♪"):
+            continue
+        starts = [w.start() for w in islice(_BACKWARD_WORDS.finditer(body, line, m.start()), roster.reach)][::-1]
+        names = [_MARKED.sub("", body[s : m.start()]) for s in starts]
+        found = next(((s, sid) for s, name in zip(starts, names) if name and (sid := roster.resolve(name.strip())) is not None), None)
+        if found is not None:
+            labels.append((_lead(body, found[0]), m.end(), found[1]))
+            line = m.end()
+            continue
+        # A marked label that names nobody is no speech either.
+        for s, name in zip(starts, names):
+            if (plain := plain_name(name)) and plain in NOBODY:
+                nobody.append((_lead(body, s), m.end()))
+                line = m.end()
+                break
+    return labels, nobody
+
+
+def read_segment(text: str, speaker: str | None, roster: Roster) -> list[tuple[int | None, str]]:
     """The segment's stretches of spoken words as (speaker id or None for 'goes on', clean text), in order.
 
     Empty if it has no spoken word. A label counts if it names one speaker of the roster; other bracketed notes are
     sound annotations. A stretch without spoken words is dropped together with its label.
-    ``clean`` = False gives empty texts.
     """
+    if not _SPECIAL.search(text):
+        return [(roster.resolve(speaker), _clean(text))] if has_words(text) else []
     if "&" in text:
         text = html.unescape(text)
     labels: list[tuple[int, int, int]] = []  # from, to, speaker
-    gone: list[tuple[int, int]] = []
-    for m in _TIME.finditer(text):
-        gone.append(m.span())
     masked = list(text)
 
     def mask(a: int, b: int) -> None:
         masked[a:b] = "\x00" * (b - a)
 
-    for a, b in gone:
-        mask(a, b)
-    body = "".join(masked)
-    for m in _VOICE.finditer(body):
-        sid = roster.resolve(m[1].strip())
-        if sid is not None:
-            labels.append((m.start(), m.end(), sid))
-        mask(*m.span())
+    if ":" in text or "-->" in text:
+        for m in _TIME.finditer(text):
+            mask(*m.span())
     body = "".join(masked)
+    if "<" in body:
+        for m in _VOICE.finditer(body):
+            sid = roster.resolve(m[1].strip())
+            if sid is not None:
+                labels.append((m.start(), m.end(), sid))
+            mask(*m.span())
+        body = "".join(masked)
     for m in _BRACKET.finditer(body):
         inner = next(g for g in m.groups() if g is not None)
         sid = None if m[0][0] in "*<" else roster.resolve(inner.strip().strip(":：").strip())
@@ -184,44 +239,13 @@ def read_segment(text: str, speaker: str | None, roster: Roster, clean: bool = T
             labels.append((m.start(), end, sid))
         mask(m.start(), end)
     body = "".join(masked)
-    for m in _COLON.finditer(body):
-        if m.end() < len(body) and not (body[m.end()].isspace() or body[m.end()] == "\x00" or m[0] == "：" or body[m.end()] in "<[(♪"):
-            continue
-        reach = max(0, m.start() - LABEL_REACH - 1)
-        line = max(body.rfind("\n", reach, m.start()), body.rfind("\x00", reach, m.start()), reach - 1)
-        low = line + 1
-        if m.start() - low > LABEL_REACH:
-            low = m.start() - LABEL_REACH
-            while low < m.start() and not body[low - 1].isspace():
-                low += 1
-        before = body[low : m.start()]
-        # words that could be the name, longest first
-        starts = [w.start() for w in re.finditer(r"\S+", before)][-5:]
-        found = None
-        for s in starts:
-            name = re.sub(r"^(?:>>+|[-–—•])\s*", "", before[s:])
-            if name and (sid := roster.resolve(name.strip())) is not None:
-                found = (s, sid)
-                break
-        if found is None:
-            # a marked label that names nobody is no speech either
-            for s in starts:
-                name = re.sub(r"^(?:>>+|[-–—•])\s*", "", before[s:])
-                if plain_name(name) in NOBODY and plain_name(name):
-                    a = low + s
-                    shift = max(0, a - LABEL_REACH)
-                    lead = _MARK.search(body[shift:a])
-                    mask(lead.start() + shift if lead else a, m.end())
-                    break
-            continue
-        a = low + found[0]
-        shift = max(0, a - LABEL_REACH)
-        if lead := _MARK.search(body[shift:a]):
-            a = lead.start() + shift
-        labels.append((a, m.end(), found[1]))
-        mask(a, m.end())
-        body = body[:a] + "\x00" * (m.end() - a) + body[m.end() :]
-    body = _TAG.sub(lambda m: "\x00" * len(m[0]), "".join(masked))
+    if _COLON.search(body):
+        named, nobody = _colon_labels(body, roster)
+        labels += named
+        for a, b, *_ in [*named, *nobody]:
+            mask(a, b)
+        body = "".join(masked)
+    body = _TAG.sub(lambda m: "\x00" * len(m[0]), body)
     labels.sort()
     edges = [0, *[a for a, _, _ in labels], len(body)]
     who: list[int | None] = [roster.resolve(speaker), *[sid for _, _, sid in labels]]
@@ -231,5 +255,5 @@ def read_segment(text: str, speaker: str | None, roster: Roster, clean: bool = T
         if ">>" in part:
             part = re.sub(r"(?:^|(?<=\s))>>+", " ", part)
         if has_words(part):
-            out.append((sid, _clean(part) if clean else ""))
+            out.append((sid, _clean(part)))
     return out

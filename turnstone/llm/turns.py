@@ -3,12 +3,14 @@
 Segments are read row by row (labels, clean words), then swept in order of time. The sweep is cut into time buckets of
 a source, so that a round-the-clock source is shared among many tasks: each bucket gives its islands (stretches of one
 speaker), and only the islands at a bucket's ends, a few rows each, are stitched in a second sweep over the source.
+Inside an island, segments are joined to utterances: what a rolling caption repeats leaves the text, and a pause longer
+than the source's calibrated one begins a new utterance.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -16,9 +18,14 @@ from pyspark.sql.window import Window
 from turnstone.llm.speech import read_segment, roster_of
 from turnstone.session import cut_lineage
 
-#: Copies of each source's roster; segments of a hot source are spread over that many join keys.
-SALT = 16
+#: Sources with more than one in so many of all segments are split; so at most so many sources are.
+SPLIT = 1000
 BUCKET_SECONDS = 600.0
+#: Share of a source's gaps between segments that are no pause, and the least seconds of a pause.
+PAUSE_SHARE = 0.98
+PAUSE_LEAST = 1.0
+#: Fewest words of a suffix-prefix overlap that count as repeated.
+OVERLAP_LEAST = 3
 
 
 def _overlap(before: list[str], new: list[str]) -> int:
@@ -40,12 +47,12 @@ def _overlap(before: list[str], new: list[str]) -> int:
     return k
 
 
-def merge_rolling(texts: list[str], least: int = 3) -> str:
-    """Joins texts, leaving out from each the words that repeat the end of what came before.
+def merge_rolling(texts: list[str], least: int = OVERLAP_LEAST) -> list[str]:
+    """Each text without the words that repeat the end of what came before it.
 
     The longest overlap of at least ``least`` words counts, however long, compared without case.
     """
-    words: list[str] = []
+    out: list[str] = []
     low: list[str] = []
     for text in texts:
         new = (text or "").split()
@@ -53,37 +60,56 @@ def merge_rolling(texts: list[str], least: int = 3) -> str:
         cut = _overlap(low, new_low)
         if cut < least:
             cut = 0
-        words += new[cut:]
+        out.append(" ".join(new[cut:]))
         low += new_low[cut:]
-    return " ".join(words)
+    return out
 
 
-@F.arrow_udf(T.StringType())
-def _rolling(lists: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else merge_rolling(x) for x in lists.to_pylist()], pa.string())
+def merge_utterances(said: list[dict], pause: float | None, least: int = OVERLAP_LEAST) -> list[dict]:
+    """Joins what one speaker said in a row to utterances; those after a pause of more than ``pause`` seconds stay apart.
 
+    ``said`` is in order; its members and those of the result are utterances of their own, so results can be merged again.
+    """
+    out: list[dict] = []
+    for u, text in zip(said, merge_rolling([u["text"] for u in said], least)):
+        if out and (pause is None or u["start"] - out[-1]["end"] <= pause):
+            last = out[-1]
+            last["end"] = max(last["end"], u["end"])
+            last["n_segments"] += u["n_segments"] - (last["last_seg_id"] == u["first_seg_id"])
+            last["last_seg_id"] = u["last_seg_id"]
+            last["text"] = f"{last['text']} {text}" if last["text"] and text else last["text"] or text
+        else:
+            out.append({**u, "text": text})
+    return out
 
-_SAID = T.ArrayType(T.StructType([T.StructField("speaker_id", T.LongType()), T.StructField("said", T.StringType())]))
 
+_UTTERANCE = T.StructType([T.StructField(k, t) for k, t in (("start", T.DoubleType()), ("end", T.DoubleType()), ("first_seg_id", T.LongType()), ("last_seg_id", T.LongType()), ("n_segments", T.IntegerType()), ("text", T.StringType()))])
+_UTTERANCES = T.ArrayType(_UTTERANCE)
+_ARROW = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64()), ("first_seg_id", pa.int64()), ("last_seg_id", pa.int64()), ("n_segments", pa.int32()), ("text", pa.string())]))
 
-def _reader(with_text: bool):
-    """Column function of text, speaker and packed roster: the segment's stretches."""
 
-    @F.arrow_udf(_SAID)
-    def read(text: pa.Array, speaker: pa.Array, roster: pa.Array) -> pa.Array:
-        packed = roster.dictionary_encode()
-        rosters = [roster_of(r or "") for r in packed.dictionary.to_pylist()]
-        nobody = roster_of("")
-        offsets, ids, said = [0], [], []
-        for t, s, r in zip(text.to_pylist(), speaker.to_pylist(), packed.indices.to_pylist()):
-            for i, words in read_segment(t, s, nobody if r is None else rosters[r], with_text):
-                ids.append(i)
-                said.append(words)
-            offsets.append(len(ids))
-        rows = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(said, pa.string())], names=["speaker_id", "said"])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
+@F.arrow_udf(_UTTERANCES)
+def _merged(said: pa.Array, pause: pa.Array) -> pa.Array:
+    return pa.array([merge_utterances(x, p) for x, p in zip(said.to_pylist(), pause.to_pylist())], _ARROW)
+
+
+_SAID = T.ArrayType(T.StructType([T.StructField("speaker_id", T.LongType()), T.StructField("said", T.StringType())]))
+
 
-    return read
+@F.arrow_udf(_SAID)
+def _read(text: pa.Array, speaker: pa.Array, roster: pa.Array) -> pa.Array:
+    """Column function of text, speaker and packed roster: the segment's stretches."""
+    packed = roster.dictionary_encode()
+    rosters = [roster_of(r or "") for r in packed.dictionary.to_pylist()]
+    nobody = roster_of("")
+    offsets, ids, said = [0], [], []
+    for t, s, r in zip(text.to_pylist(), speaker.to_pylist(), packed.indices.to_pylist()):
+        for i, words in read_segment(t, s, nobody if r is None else rosters[r]):
+            ids.append(i)
+            said.append(words)
+        offsets.append(len(ids))
+    rows = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(said, pa.string())], names=["speaker_id", "said"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
 
 
 def packed_roster(roster: DataFrame) -> DataFrame:
@@ -93,76 +119,86 @@ def packed_roster(roster: DataFrame) -> DataFrame:
     return rows.groupBy("r_source").agg(F.array_join(F.array_sort(F.collect_set("x")), "\x1e").alias("roster"))
 
 
-def spoken_stretches(segments: DataFrame, roster: DataFrame, with_text: bool = True) -> DataFrame:
-    """``source_id, seg_id, start, end, pos, speaker_id, said``: stretches of spoken words, speaker null for 'goes on'.
+def hot_sources(rows: DataFrame, source: str = "source_id", split: int = SPLIT) -> dict[str, int]:
+    """Sources with more than one in ``split`` of all rows (so at most ``split`` of them), and into how many parts to cut each."""
+    counts = rows.groupBy(F.col(source).alias("s")).agg(F.count("*").alias("n")).filter("s IS NOT NULL")
+    total = counts.agg(F.sum("n").alias("total"))  # one row
+    hot = counts.crossJoin(F.broadcast(total)).filter(F.col("n") * split > F.col("total")).collect()
+    return {r["s"]: -(-4 * split * r["n"] // r["total"]) for r in hot}
 
-    Rows without source, start (NaN included) or text, and segments without spoken words, are left out.
-    """
-    rows = segments.select("source_id", "seg_id", "text", F.col("start").cast("double").alias("start"), F.col("duration").cast("double").alias("duration"), F.col("speaker").cast("string").alias("speaker"))
-    rows = rows.filter(F.col("source_id").isNotNull() & F.col("start").isNotNull() & ~F.isnan("start") & F.col("text").isNotNull())
-    salted = packed_roster(roster).withColumn("r_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("seg_id"), F.lit(SALT)).cast("int"))
-    rows = rows.join(salted, (F.col("source_id") == F.col("r_source")) & (F.col("salt") == F.col("r_salt")), "left")
-    end = F.col("start") + F.greatest(F.coalesce(F.nanvl("duration", F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
-    rows = rows.withColumn("stretch", _reader(with_text)("text", "speaker", "roster"))
-    rows = rows.select("source_id", "seg_id", "start", end.alias("end"), F.posexplode("stretch").alias("pos", "s"))
-    return rows.select("source_id", "seg_id", "start", "end", "pos", "s.speaker_id", "s.said")
+
+def _parts_of(source: str, hot: dict[str, int]) -> Column:
+    """Into how many parts a source's rows are cut."""
+    if not hot:
+        return F.lit(1)
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in sorted(hot.items()) for x in pair]), F.col(source)), F.lit(1))
 
 
-def calibrated_pauses(segments: DataFrame, share: float = 0.98, least: float = 1.0) -> DataFrame:
-    """``source_id, pause``: the gap between segments that only ``1 - share`` of the source's gaps exceed.
+def calibrated_pauses(segments: DataFrame, share: float = PAUSE_SHARE, least: float = PAUSE_LEAST) -> DataFrame:
+    """``p_source, pause``: the gap between segments that only ``1 - share`` of the source's gaps exceed.
 
     The gap after a segment is bounded by its time bucket, so no source is swept in one task; quantiles come from
     mergeable sketches over all gaps.
     """
     rows = segments.filter("start IS NOT NULL AND NOT isnan(start) AND source_id IS NOT NULL")
-    rows = rows.select("source_id", F.col("start"), (F.col("start") + F.greatest(F.coalesce("duration", F.lit(0.0)), F.lit(0.0))).alias("end"), F.floor(F.col("start") / BUCKET_SECONDS).alias("b"))
+    rows = rows.select("source_id", F.col("start").cast("double").alias("start"), _end().alias("end"), F.floor(F.col("start") / BUCKET_SECONDS).alias("b"))
     gap = F.lead("start").over(Window.partitionBy("source_id", "b").orderBy("start", "end")) - F.col("end")
     gaps = rows.select("source_id", gap.alias("gap")).filter("gap >= 0")
-    return gaps.groupBy("source_id").agg(F.greatest(F.percentile_approx("gap", F.lit(share), F.lit(1000)), F.lit(least)).alias("pause"))
+    return gaps.groupBy(F.col("source_id").alias("p_source")).agg(F.greatest(F.percentile_approx("gap", F.lit(share), F.lit(1000)), F.lit(least)).alias("pause"))
+
 
+def _end() -> Column:
+    return F.col("start").cast("double") + F.greatest(F.coalesce(F.nanvl(F.col("duration").cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
 
-def speaker_turns(segments: DataFrame, roster: DataFrame, pause_share: float | None = None, bucket_seconds: float = BUCKET_SECONDS, with_text: bool = True) -> DataFrame:
-    """``source_id, speaker_id, first_seg_id, last_seg_id, start, end, n_segments, text`` per turn.
+
+def spoken_stretches(segments: DataFrame, roster: DataFrame, pauses: DataFrame | None = None, hot: dict[str, int] | None = None) -> DataFrame:
+    """``source_id, seg_id, start, end, pause, pos, speaker_id, said``: stretches of spoken words, speaker null for 'goes on'.
+
+    Rows without source, start (NaN included) or text, and segments without spoken words, are left out. Segments of a
+    hot source (see ``hot_sources``) meet as many copies of its roster as it has parts.
+    """
+    hot = hot_sources(segments) if hot is None else hot
+    rows = segments.select("source_id", "seg_id", "text", F.col("start").cast("double").alias("start"), _end().alias("end"), F.col("speaker").cast("string").alias("speaker"))
+    rows = rows.filter(F.col("source_id").isNotNull() & F.col("start").isNotNull() & ~F.isnan("start") & F.col("text").isNotNull())
+    about = packed_roster(roster)
+    if pauses is not None:
+        about = about.hint("merge").join(pauses, F.col("r_source") == F.col("p_source"), "full").select(F.coalesce("r_source", "p_source").alias("r_source"), "roster", "pause")
+    else:
+        about = about.withColumn("pause", F.lit(None).cast("double"))
+    about = about.withColumn("r_part", F.explode(F.sequence(F.lit(0), _parts_of("r_source", hot) - 1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("seg_id", "start"), _parts_of("source_id", hot)).cast("int"))
+    rows = rows.join(about, (F.col("source_id") == F.col("r_source")) & (F.col("part") == F.col("r_part")), "left")
+    rows = rows.withColumn("stretch", _read("text", "speaker", "roster"))
+    rows = rows.select("source_id", "seg_id", "start", "end", "pause", F.posexplode("stretch").alias("pos", "s"))
+    return rows.select("source_id", "seg_id", "start", "end", "pause", "pos", "s.speaker_id", "s.said")
+
+
+def speaker_turns(segments: DataFrame, roster: DataFrame, pause_share: float | None = PAUSE_SHARE, bucket_seconds: float = BUCKET_SECONDS, hot: dict[str, int] | None = None) -> DataFrame:
+    """``source_id, speaker_id, first_seg_id, last_seg_id, start, end, n_segments, utterances`` per turn.
 
     ``segments`` holds current rows (``source_id, seg_id, text, start, duration, speaker``), ``roster`` rows of
     ``source_id, speaker_id, full_name, speaker_role, diar_label``. A turn is the longest stretch of one speaker's
-    spoken words in order of ``start`` (ties: ``seg_id``); with ``pause_share`` it also ends at a pause longer than
-    the source's calibrated one. Words before any label have a null speaker. Null or empty texts, null starts and segments without spoken words belong to no turn. A label that names no
-    speaker of the source's roster, or several, is no label. Empty tables give an empty result; columns not named are
-    ignored. ``with_text`` = False leaves the texts out, which then need not be moved.
+    spoken words in order of ``start`` (ties: ``seg_id``). Its ``utterances`` (``start, end, first_seg_id, last_seg_id,
+    n_segments, text``) are its clean text without what rolling captions repeat, split at pauses longer than the
+    source's calibrated one (see ``calibrated_pauses``; with ``pause_share`` None at none). Words before any label have
+    a null speaker. Null or empty texts, null starts and segments without spoken words belong to no turn. A label that
+    names no speaker of the source's roster, or several, is no label. Empty tables give an empty result; columns not
+    named are ignored. ``hot``: what ``hot_sources`` gives, if it is known from a cheaper reading of the same rows.
     """
-    pieces = spoken_stretches(segments, roster, with_text).withColumn("b", F.floor(F.col("start") / F.lit(float(bucket_seconds))))
-    if pause_share is not None:
-        pauses = calibrated_pauses(segments, pause_share).select(F.col("source_id").alias("p_source"), "pause")
-        salted = pauses.withColumn("p_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        salt = F.pmod(F.xxhash64("seg_id"), F.lit(SALT)).cast("int")
-        pieces = pieces.join(salted, (F.col("source_id") == F.col("p_source")) & (salt == F.col("p_salt")), "left").drop("p_source", "p_salt")
-    else:
-        pieces = pieces.withColumn("pause", F.lit(None).cast("double"))
-    pause = F.coalesce("pause", F.lit(float("inf")))
+    pauses = None if pause_share is None else calibrated_pauses(segments, pause_share)
+    pieces = spoken_stretches(segments, roster, pauses, hot).withColumn("b", F.floor(F.col("start") / F.lit(float(bucket_seconds))))
 
     in_bucket = Window.partitionBy("source_id", "b").orderBy("start", "seg_id", "pos")
-    before = in_bucket.rowsBetween(Window.unboundedPreceding, -1)
     who = F.last("speaker_id", ignorenulls=True)
-    pieces = (
-        pieces.withColumn("spk", who.over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("prev_spk", who.over(before))
-        .withColumn("late", F.coalesce(F.col("start") - F.max("end").over(before) > pause, F.lit(False)))
-        .withColumn("isle", F.sum((F.col("late") | ~F.col("spk").eqNullSafe(F.col("prev_spk"))).cast("int")).over(in_bucket))
-    )
+    pieces = pieces.withColumn("spk", who.over(in_bucket.rowsBetween(Window.unboundedPreceding, 0))).withColumn("prev_spk", who.over(in_bucket.rowsBetween(Window.unboundedPreceding, -1)))
+    pieces = pieces.withColumn("isle", F.sum((~F.col("spk").eqNullSafe(F.col("prev_spk"))).cast("int")).over(in_bucket))
     at = F.struct("start", "seg_id", "pos")
+    one = F.struct("start", "end", F.col("seg_id").alias("first_seg_id"), F.col("seg_id").alias("last_seg_id"), F.lit(1).alias("n_segments"), F.col("said").alias("text"))
+    in_order = lambda c: F.transform(F.array_sort(c), lambda x: x["u"])
     isles = pieces.groupBy("source_id", "b", "isle").agg(
-        F.first("spk").alias("spk"),
-        F.min_by("prev_spk", at).alias("prev_spk"),
-        F.max("late").alias("late"),
-        F.min(at).alias("first"),
-        F.max(at).alias("last"),
-        F.max("end").alias("end"),
-        F.max("pause").alias("pause"),
-        F.array_sort(F.collect_list(F.struct("start", "seg_id", "pos", "said") if with_text else F.struct("start", "seg_id"))).alias("said"),
+        F.first("spk").alias("spk"), F.min_by("prev_spk", at).alias("prev_spk"), F.min(at).alias("first"), F.max(at).alias("last"), F.max("pause").alias("pause"), F.collect_list(F.struct(at.alias("at"), one.alias("u"))).alias("said")
     )
-    isles = isles.select("source_id", "b", "isle", "spk", "prev_spk", "late", "first", "last", "end", "pause", F.size(F.array_distinct("said.seg_id")).alias("n_segments"), (_rolling(F.col("said.said")) if with_text else F.lit(None).cast("string")).alias("text"))
+    isles = isles.select("source_id", "b", "isle", "spk", "prev_spk", "first", "last", "pause", _merged(in_order("said"), "pause").alias("utterances"))
 
     # Islands that can touch another bucket: the unlabelled ones at its front, the first labelled, and the last.
     bucket = Window.partitionBy("source_id", "b")
@@ -171,29 +207,21 @@ def speaker_turns(segments: DataFrame, roster: DataFrame, pause_share: float | N
     isles = cut_lineage(isles)
     per_source = Window.partitionBy("source_id").orderBy("b", "isle")
     earlier = per_source.rowsBetween(Window.unboundedPreceding, -1)
-    first_of_bucket = F.row_number().over(bucket.orderBy("isle")) == 1
-    late = F.when(F.col("head"), F.coalesce(F.col("first.start") - F.max("end").over(earlier) > pause, F.lit(False))).otherwise(F.col("late"))
     edges = (
-        isles.withColumn("head", first_of_bucket)
-        .filter("edge")
+        isles.filter("edge")
         .withColumn("carry", F.last("spk", ignorenulls=True).over(earlier))
         .withColumn("nth", F.row_number().over(per_source))
-        .withColumn("opens", (F.col("nth") == 1) | late | F.col("prev_spk").isNotNull() | (F.col("spk").isNotNull() & ~F.col("spk").eqNullSafe(F.col("carry"))))
+        .withColumn("opens", (F.col("nth") == 1) | F.col("prev_spk").isNotNull() | (F.col("spk").isNotNull() & ~F.col("spk").eqNullSafe(F.col("carry"))))
         .withColumn("group", F.sum(F.col("opens").cast("int")).over(per_source))
     )
-    shared = edges.groupBy("source_id", "group").agg(
-        F.max("spk").alias("own"),
-        F.max("carry").alias("carry"),
-        F.min("first").alias("first"),
-        F.max("last").alias("last"),
-        F.max("end").alias("end"),
-        F.sum("n_segments").alias("n_segments"),
-        F.array_sort(F.collect_list(F.struct("b", "isle", "text"))).alias("parts"),
-    )
-    # A turn opened by a pause may have no label of its own; its speaker is the one before the pause.
-    shared = shared.select("source_id", F.coalesce("own", "carry").alias("spk"), "first", "last", "end", "n_segments", (_rolling(F.col("parts.text")) if with_text else F.lit(None).cast("string")).alias("text"))
-    inner = isles.filter("NOT edge").select("source_id", "spk", "first", "last", "end", "n_segments", "text")
+    shared = edges.groupBy("source_id", "group").agg(F.max("spk").alias("spk"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("pause").alias("pause"), F.collect_list(F.struct("b", "isle", F.col("utterances").alias("u"))).alias("parts"))
+    shared = shared.select("source_id", "spk", "first", "last", _merged(F.flatten(in_order("parts")), "pause").alias("utterances"))
+    inner = isles.filter("NOT edge").select("source_id", "spk", "first", "last", "utterances")
+    total = F.aggregate("utterances", F.lit(0), lambda acc, u: acc + u["n_segments"])
     turns = inner.unionByName(shared)
-    columns = ["n_segments", "text"] if with_text else ["n_segments"]
-    return turns.select("source_id", F.col("spk").alias("speaker_id"), F.col("first.seg_id").alias("first_seg_id"), F.col("last.seg_id").alias("last_seg_id"), F.col("first.start").alias("start"), "end", *columns)
+    return turns.select("source_id", F.col("spk").alias("speaker_id"), F.col("first.seg_id").alias("first_seg_id"), F.col("last.seg_id").alias("last_seg_id"), F.col("first.start").alias("start"), F.element_at("utterances", -1)["end"].alias("end"), total.alias("n_segments"), "utterances")
+
 
+def utterances(turns: DataFrame) -> DataFrame:
+    """One row per utterance: turns split at speaker changes and calibrated pauses."""
+    return turns.select("source_id", "speaker_id", F.explode("utterances").alias("u")).select("source_id", "speaker_id", "u.*")

@@ -48,7 +48,7 @@ def test_junk_is_found_whatever_its_share_of_a_language(spark):
     assert all(r.z_distinct_share < -5 for r in out[200:260])  # the scale does not grow with the copies
 
 
-def test_documents_without_a_language_are_in_the_merged_sketch(spark, monkeypatch):
+def test_documents_without_a_language_are_in_the_merged_sketch(spark):
     looped, unreadable = "subscribe to my channel " * 30, "hjk;lkwqrt fghj,dfgkl wrtpq;sdf " * 9
     texts = prose_of(60) + [looped] * 20 + [unreadable] * 10
     for label in (None, " ", "und"):
@@ -59,12 +59,54 @@ def test_documents_without_a_language_are_in_the_merged_sketch(spark, monkeypatc
     long = [" ".join(prose_of(40)[i:] + prose_of(i)) for i in range(40)]
     out = scored(spark, [(t, "en") for t in prose_of(10)] + [(t, None) for t in long])
     assert all("n_words" not in r.tails for r in out[10:])
-    # So are those of labels beyond the most frequent ones.
-    monkeypatch.setattr("turnstone.llm.quality.MAX_LANGUAGES", 1)
-    out = scored(spark, [(t, "en") for t in prose_of(42)] + [(t, f"x{i}") for i, t in enumerate(long)] * 2)
+    # So are those of labels that name no language.
+    out = scored(spark, [(t, "en") for t in prose_of(42)] + [(t, f"label {i}") for i, t in enumerate(long)] * 2)
     assert all("n_words" not in r.tails for r in out[42:])
 
 
+def test_every_language_has_its_own_sketch(spark):
+    """However many languages there are, and in whatever spelling."""
+    codes = [a + b for a in "abcdefghijklmnop" for b in "abcdefghijklmnopq"]
+    rows = spark.createDataFrame([(c, (f" {c.upper()}-XX",)) for c in codes] + [("und", (x,)) for x in ("", "a", "12", "word too long", None)], "want string, s struct<l: string>")
+    from turnstone.llm import quality
+
+    got = rows.select("want", quality._language(rows["s.l"]).alias("got")).collect()
+    assert len(codes) > 250 and all(r.want == r.got for r in got)
+
+
+def test_scores_do_not_depend_on_the_partitions(spark):
+    texts = [(t, k) for t, k in cases()] + [(t, "prose") for t in prose_of(80)]
+    df = spark.createDataFrame([(i, t, ("en", "de", None)[i % 3], None, 1) for i, (t, _) in enumerate(texts)], S)
+    once, again = (sorted(map(str, score(df.repartition(n), "doc_id", "text", "lang", {}).collect())) for n in (3, 17))
+    assert once == again
+
+
+def test_lists_and_tables_are_tails_of_their_lines(spark):
+    out = scored(spark, [(t, "en" if i % 2 else "de") for i, (t, _) in enumerate(cases())] + [(t, "en") for t in prose_of(60)])
+    for r in out:
+        if r.kind in ("list", "table"):
+            assert ("item_line_share" if r.kind == "list" else "row_line_share") in r.tails
+        if r.kind == "prose":
+            assert not {"readable_share", "distinct_share"} & set(r.tails)
+    # So they are where they make up most of a language.
+    kinds = [k for _, k in cases() if k in ("list", "table")]
+    out = scored(spark, [(t, "en") for t, k in cases() if k in ("list", "table")] * 5)
+    assert [r.kind for r in out] == kinds * 5
+
+
+def test_sketches_merge_and_keep_the_quantiles(spark):
+    from pyspark.sql import functions as F
+    from turnstone.llm import quality
+
+    r = random.Random(5)
+    values = [r.lognormvariate(3, 1.5) for _ in range(999)] + [0.0, 1e6]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    rows = df.select(F.lit("en").alias("lang"), F.lit("n_words").alias("stat"), quality._bin(F.col("x")).alias("bin")).groupBy("lang", "stat", "bin").agg(F.count("*").alias("n"))
+    q = quality.quantiles(rows).first()["n_words"]
+    values.sort()
+    assert len(q) == 101 and all(abs(a - b) <= 0.01 * b + 0.001 for a, b in zip(q, values[::10]))
+
+
 def test_prose_without_spaces_or_with_marks_is_readable(spark):
     texts = ["今天天气很好，我们去公园散步，看见了很多花。然后大家一起回家吃饭，聊了很久，最后才慢慢睡觉，第二天又早早起床去上班。", "วันนี้อากาศดีมากเราไปเดินเล่นที่สวนสาธารณะกับเพื่อน", "ذهبَ الولدُ إلى المدرسةِ، ثمَّ عادَ إلى البيتِ."]
     out = scored(spark, [(t, "en") for t in prose_of(60)] + [(t, lang) for t, lang in zip(texts, ("zh", "th", "ar"))])

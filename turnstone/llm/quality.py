@@ -1,15 +1,16 @@
 """Text quality statistics per document, and which documents are lists, tables or junk rather than prose.
 
-Every statistic gets a mergeable quantile sketch (KLL) per language, built over all documents; a document's values
-become percentiles and robust z-scores within its language, and far tails are flagged. The quantiles of a language
-are shrunk towards those of the merged sketch by its number of documents; documents without a known language, and those
-of languages beyond the most frequent ones, are judged by the merged sketch of all documents, their own included. Readable tokens and distinct phrases have a bound besides, so that junk is
-found whatever its own share of a language is. The layout of lines (short items, rows of the same columns) comes from
-the statistics of the lines themselves.
+Every statistic, those of the lines included (shares of short items, of rows of the same columns, of lines without a
+letter or digit), gets a mergeable quantile sketch per language, built over all documents; a document's values become
+percentiles and robust z-scores within its language, and far tails are flagged. The quantiles of a language are shrunk
+towards those of the merged sketch by its number of documents; documents without a known language are judged by the
+merged sketch of all documents, their own included. The middles and scales of the statistics that tell kinds apart are
+bounded, so that what is far from prose stays in a tail whatever its own share of a language is.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -20,18 +21,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from turnstone.session import cut_lineage
 
 #: Statistics that are sketched, with the smallest scale a z-score assumes.
-SKETCHED = {"n_words": 5.0, "mean_word_length": 0.5, "symbol_ratio": 0.03, "punct_line_share": 0.15, "common_share": 0.05, "readable_share": 0.05, "distinct_share": 0.1}
-#: Labels beyond these share one sketch, so that there are at most this many and two more.
-MAX_LANGUAGES = 200
+SKETCHED = {"n_words": 5.0, "mean_word_length": 0.5, "symbol_ratio": 0.03, "punct_line_share": 0.15, "common_share": 0.05, "readable_share": 0.05, "distinct_share": 0.1, "item_line_share": 0.02, "row_line_share": 0.02, "junk_line_share": 0.02}
+#: Of these, shares of a text's lines.
+LINES = ("item_line_share", "row_line_share", "junk_line_share")
+#: A sketch's bins grow by this factor, and are about so wide near zero.
+GROWTH = 1.01
+LEAST_WIDTH = 0.001
 #: The merged sketch counts as so many documents beside a language's own.
 LEAST_DOCUMENTS = 30
 TAIL = 5.0
-#: A text below these is junk in every language, however many of its language's documents are like it.
+#: A text below these lies in the low tail in every language, however many of its language's documents are like it.
 LEAST_SHARE = {"readable_share": 0.7, "distinct_share": 0.4}
+#: The middle of readable and distinct shares is taken to be at least, that of line shares at most so much.
+ORDINARY = {"readable_share": 0.95, "distinct_share": 0.9, "item_line_share": 0.2, "row_line_share": 0.2, "junk_line_share": 0.2}
 
 _BREAK = re.compile("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 _INVISIBLE = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
@@ -198,60 +205,97 @@ def common_words(words: DataFrame, most: int = 100_000) -> dict[str, tuple[str,
 
 
 def _language(lang: Column) -> Column:
-    return F.coalesce(F.nullif(F.lower(F.trim(lang)), F.lit("")), F.lit("und"))
+    """The two or three letters that a label begins with; 'und' for a label that has no such form."""
+    return F.coalesce(F.nullif(F.regexp_extract(F.lower(F.regexp_replace(lang, r"(?U)^\s+|\s+$", "")), r"^([a-z]{2,3})(?:[-_].*)?$", 1), F.lit("")), F.lit("und"))
+
+
+def _shares(s: str) -> dict[str, Column]:
+    """The sketched statistics of the struct ``s``; those of the lines are shares of all lines."""
+    line = lambda k: F.col(f"{s}.n_{k}_lines") / F.col(f"{s}.n_lines")
+    return {k: line(k.removesuffix("_line_share")) if k in LINES else F.col(f"{s}.{k}").cast("double") for k in SKETCHED}
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """``lang, n, <statistic>`` (binary KLL sketch) per language, and the merged one of all as language '*'."""
-    per = measured.groupBy("lang").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(F.col(f"s.{k}").cast("double")).alias(k) for k in SKETCHED])
-    both = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[F.kll_merge_agg_double(k).alias(k) for k in SKETCHED]).filter("n > 0")
-    return per.unionByName(both.select(F.lit("*").alias("lang"), "n", *SKETCHED))
+    """``lang, stat, bin, n``: a mergeable quantile sketch of every statistic per language, and of all together ('*').
+
+    A sketch is a histogram whose bins grow with the value (values of one bin differ by 1 % at most, or by 0.001 near
+    zero); adding up bins merges sketches, so the result does not depend on how the rows are split or ordered.
+    """
+    each = F.array(*[F.struct(F.lit(k).alias("stat"), _bin(x).alias("bin")) for k, x in _shares("s").items()])
+    rows = measured.select("lang", F.explode(each).alias("x")).groupBy("lang", "x.stat", "x.bin").agg(F.count("*").alias("n"))
+    return rows.unionByName(rows.groupBy("stat", "bin").agg(F.sum("n").alias("n")).withColumn("lang", F.lit("*")))
+
+
+def _bin(x: Column) -> Column:
+    """Number of the bin of a value that is not negative: linear near zero, then growing by ``GROWTH``."""
+    return F.round(F.log1p(F.greatest(x, F.lit(0.0)) * ((GROWTH - 1) / LEAST_WIDTH)) / math.log(GROWTH) * 1.0).cast("int")
+
+
+def _value(b: Column) -> Column:
+    """The value that stands for a bin."""
+    return F.expm1(b * math.log(GROWTH)) * (LEAST_WIDTH / (GROWTH - 1))
+
+
+def quantiles(sketch: DataFrame, points: int = 101) -> DataFrame:
+    """``lang, n, <stat>``: the values at ``points`` even ranks of every sketch, smallest first.
+
+    Swept over the bins of one sketch, whose number is bounded by the range of a double, not by the rows.
+    """
+    upto = F.sum("n").over(Window.partitionBy("lang", "stat").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("n").over(Window.partitionBy("lang", "stat"))
+    rows = sketch.withColumn("upto", upto).withColumn("total", total)
+    # The ranks that a bin holds: rank i of 0 .. points - 1 stands at row i * (total - 1) / (points - 1), counted from 0.
+    first = F.ceil((F.col("upto") - F.col("n")) * (points - 1) / F.greatest(F.col("total") - 1, F.lit(1)) - 1e-9)
+    last = F.floor((F.col("upto") - 1) * (points - 1) / F.greatest(F.col("total") - 1, F.lit(1)) + 1e-9)
+    alone = F.col("total") == 1
+    ranks = F.when(alone, F.lit(points)).otherwise(F.greatest(last - first + 1, F.lit(0))).cast("int")
+    rows = rows.withColumn("times", ranks)
+    grid = rows.groupBy("lang", "stat").agg(F.max("total").alias("n"), F.array_sort(F.collect_list(F.struct("bin", "times"))).alias("bins"))
+    spread_out = F.flatten(F.transform("bins", lambda b: F.array_repeat(_value(b["bin"]), b["times"])))
+    return grid.select("lang", "stat", "n", spread_out.alias("q")).groupBy("lang").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("stat") == k, F.col("q"))).alias(k) for k in SKETCHED])
 
 
 def score(df: DataFrame, doc_id: str, text: str, lang: str, common: dict[str, tuple[str, ...]]) -> DataFrame:
-    """One row per document: its statistics, percentiles, robust z-scores, flags and ``kind``.
+    """One row per document: its statistics, percentiles, robust z-scores, tails and ``kind``.
 
     ``kind`` is 'prose', 'list', 'table', 'junk', or null for null and blank texts. ``tails`` names the statistics in
-    a far tail (|z| > 5). Junk is a text in the low tail of readable tokens or of distinct phrases or below their
-    ``LEAST_SHARE``, or one whose lines mostly hold no letter or digit; otherwise a text is what most of its lines are.
-    Repeated rows are kept as they are.
+    a far tail (|z| > 5) of the document's language. What may be a list, a table or junk is what lies in the far tail
+    of the shares of item lines, of rows of the same columns and of lines without a letter or digit, or in the low
+    tail of readable tokens or of distinct phrases; of these, lists, tables and wordless texts must have most of their
+    lines so. Scores depend on the rows alone, not on how they are split. Repeated rows are kept as they are.
     """
-    rows = df.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{lang}`").alias("l"), statistics(F.col(f"`{text}`"), common).alias("s")).withColumn("lang", _language(F.col("l")))
+    rows = df.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{lang}`").alias("l"), statistics(F.col(f"`{text}`"), common).alias("s")).withColumn("lang", _language(F.col("l").cast("string")))
     # Measured once and written without the texts: the sketches and the scores both read it.
     rows = cut_lineage(rows)
-    real = rows.filter("s IS NOT NULL")
-    # Labels are folded into a bounded number of languages, the most frequent ones; so the sketch table is bounded too.
-    known = [r["lang"] for r in real.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    fold = F.when(F.col("lang").isin(known), F.col("lang")).otherwise(F.lit("und"))
-    rows = rows.withColumn("lang", fold) if known else rows
-    table = sketches(rows.filter("s IS NOT NULL"))
-    ranks = F.array(*[F.lit(i / 100) for i in range(101)])
-    grid = table.select("lang", "n", *[F.kll_sketch_get_quantile_double(F.col(k), ranks).alias(f"q_{k}") for k in SKETCHED])
-    merged = grid.filter("lang = '*'").select(*[F.col(f"q_{k}").alias(f"m_{k}") for k in SKETCHED])
-    shrunk = lambda k: F.zip_with(f"q_{k}", f"m_{k}", lambda q, m: (q * F.col("n") + m * LEAST_DOCUMENTS) / (F.col("n") + LEAST_DOCUMENTS))
-    own = grid.filter("lang <> 'und'").crossJoin(F.broadcast(merged)).select("lang", *[shrunk(k).alias(f"q_{k}") for k in SKETCHED])
-    own = cut_lineage(own)
-    listed = [r["lang"] for r in own.select("lang").collect()]
-    key = F.when(F.col("lang").isin(listed), F.col("lang")).otherwise(F.lit("*"))
-    rows = rows.withColumn("key", key).join(F.broadcast(own.withColumnRenamed("lang", "key")), "key", "left")
+    grid = quantiles(sketches(rows.filter("s IS NOT NULL")))
+    # Written, so that its real size decides whether it is broadcast.
+    grid = cut_lineage(grid)
+    merged = grid.filter("lang = '*'").select(*[F.col(k).alias(f"m_{k}") for k in SKETCHED])  # one row
+    shrunk = lambda k: F.zip_with(k, f"m_{k}", lambda q, m: (q * F.col("n") + m * LEAST_DOCUMENTS) / (F.col("n") + LEAST_DOCUMENTS))
+    own = grid.crossJoin(F.broadcast(merged)).select(F.col("lang").alias("key"), *[F.when(F.col("lang") == "*", F.col(k)).otherwise(shrunk(k)).alias(f"q_{k}") for k in SKETCHED])
+    rows = rows.withColumn("key", F.when(F.col("lang") == "und", "*").otherwise(F.col("lang"))).join(own, "key", "left")
     z, pct = {}, {}
-    for k, floor in SKETCHED.items():
-        q, x = F.col(f"q_{k}"), F.col(f"s.{k}").cast("double")
-        # Junk lies in the lower half of these; the scale must not grow with it.
-        width = 2 * (F.get(q, F.lit(75)) - F.get(q, F.lit(50))) if k in LEAST_SHARE else F.get(q, F.lit(75)) - F.get(q, F.lit(25))
-        spread = F.greatest(width / 1.349, F.lit(floor))
-        z[k] = F.round((x - F.get(q, F.lit(50))) / spread, 3)
-        pct[k] = F.greatest(F.size(F.filter(q, lambda g, x=x: g <= x)) - 1, F.lit(0)) / 100
+    at = lambda k, rank: F.get(f"q_{k}", F.lit(rank))
+    for k, x in _shares("s").items():
+        middle, width = at(k, 50), at(k, 75) - at(k, 25)
+        if k in LEAST_SHARE:  # junk lies in the lower half of these; neither scale nor middle may move with it
+            width, middle = 2 * (at(k, 75) - at(k, 50)), F.greatest(middle, F.lit(ORDINARY[k]))
+            width = F.least(width, (middle - LEAST_SHARE[k]) / TAIL * 1.349)
+        if k in LINES:  # lists, tables and junk lie in the upper half of these
+            width, middle = 2 * (at(k, 50) - at(k, 25)), F.least(middle, F.lit(ORDINARY[k]))
+            width = F.least(width, (0.5 - middle) / TAIL * 1.349)
+        z[k] = F.round((x - middle) / F.greatest(width / 1.349, F.lit(SKETCHED[k])), 3)
+        pct[k] = F.greatest(F.size(F.filter(f"q_{k}", lambda g, x=x: g <= x * (1 + 1e-9))) - 1, F.lit(0)) / 100
     rows = rows.withColumns({f"z_{k}": v for k, v in z.items()} | {f"pct_{k}": F.when(F.col("s").isNotNull(), v) for k, v in pct.items()})
     tails = F.filter(F.array(*[F.when(F.abs(F.col(f"z_{k}")) > TAIL, F.lit(k)) for k in SKETCHED]), lambda t: t.isNotNull())
-    low = lambda k: F.coalesce(F.col(f"z_{k}") < -TAIL, F.lit(False)) | (F.col(f"s.{k}") < LEAST_SHARE[k])
-    half = F.col("s.n_lines") / 2
+    low = lambda k: F.col(f"z_{k}") < -TAIL
+    mostly = lambda k: (F.col(f"z_{k}_line_share") > TAIL) & (F.col(f"s.n_{k}_lines") * 2 > F.col("s.n_lines"))
     kind = (
         F.when(F.col("s").isNull(), None)
-        .when(low("distinct_share") | (F.col("s.n_junk_lines") > half), "junk")
-        .when((F.col("s.n_row_lines") > half) & ~(low("readable_share") & (F.col("s.n_lines") < 2)), "table")
+        .when(low("distinct_share") | mostly("junk"), "junk")
+        .when(mostly("row") & ~(low("readable_share") & (F.col("s.n_lines") < 2)), "table")
         .when(low("readable_share"), "junk")
-        .when(F.col("s.n_item_lines") > half, "list")
+        .when(mostly("item"), "list")
         .otherwise("prose")
     )
     out = rows.withColumn("kind", kind).withColumn("tails", tails)

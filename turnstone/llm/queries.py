@@ -170,13 +170,19 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mix(spark, sf_dir)[1]
+    """Wanted, fitted and really reached shares of every source."""
+    return mix.reached_shares(*_mix(spark, sf_dir))
 
 
 def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[0]
 
 
+def p8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed records, documents repeated."""
+    return mix.records(_mix(spark, sf_dir)[0])
+
+
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     common = quality.common_words(table(spark, sf_dir, "common_word"))
     return quality.score(spread(table(spark, sf_dir, "documents")), "doc_id", "text", "lang", common)
@@ -206,6 +212,7 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_report": p8_report,
     "p8_rates": p8_rates,
+    "p8_records": p8_records,
     "p9_found": p9_found,
     "p9_statistics": p9_statistics,
 }

@@ -35,8 +35,9 @@ def test_speakers_by_overlap(spark):
 
 
 def test_repeats(spark):
+    ties = spark.createDataFrame([("a", 1, 7), ("a", 1, 8), ("a", 1, 7), ("b", None, 1), ("b", 2, 9), (None, 4, 1), (None, 5, 2)], "k string, o int, i int")
+    assert sorted((str(r.k), r.i, r.is_repeat) for r in D.mark_repeats(ties, "k", "o", "i").collect()) == [("None", 1, False), ("None", 2, False), ("a", 7, False), ("a", 7, False), ("a", 8, True), ("b", 1, True), ("b", 9, False)]
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4), (None, 5)], "k string, o int")
-    assert {(r.k, r.o, r.is_repeat) for r in D.mark_repeats(df, "k", "o").collect()} == {("a", 1, False), ("a", 2, True), ("b", 3, False), (None, 4, False), (None, 5, True)}
     assert {(r.k, r.o) for r in D.first_seen(df, "k", "o").collect()} == {("a", 1), ("b", 3), (None, 4)}
     docs = spark.createDataFrame([(1, "Same  TEXT"), (2, "same text "), (3, None), (4, "other")], "id int, t string")
     assert {(r.id, r.owner, r.status) for r in D.content_owner(docs, "id", "t", "id").collect()} == {(1, 1, "UNIQUE"), (2, 1, "POSSIBLE_DUPLICATE_CONTENT"), (3, 3, "UNIQUE"), (4, 4, "UNIQUE")}
@@ -52,7 +53,8 @@ def test_manifest_and_versions(spark, tmp_path):
     K.snapshot(merged, str(tmp_path), "v1.2")
     with pytest.raises(Exception, match="exist"):
         K.snapshot(merged, str(tmp_path), "v1.2")
-    assert [r[0] for r in K.list_versions(spark, str(tmp_path)).collect()] == ["v1.10", "v1.2"]
+    (tmp_path / "versions" / "v0").mkdir()
+    assert [(r.version_tag, r.total_sources, r.total_words) for r in K.list_versions(spark, str(tmp_path)).collect()] == [("v0", None, None), ("v1.10", 3, 61), ("v1.2", 3, 61)]
 
 
 def test_audit_and_repair(spark):

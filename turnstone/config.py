@@ -40,4 +40,14 @@ def load(path: str | Path | None = None, profile: str | None = None, **overrides
     kinds = {f.name: type(f.default) for f in fields(Config)}
     if unknown := sorted(set(overrides) - set(kinds)):
         raise ValueError(f"unknown settings: {', '.join(unknown)}")
-    return replace(config, **{k: kinds[k](v) for k, v in overrides.items()})
+    return replace(config, **{k: _as(kinds[k], v, k) for k, v in overrides.items()})
+
+
+def _as(kind: type, value: object, key: str) -> object:
+    """A setting in its kind; switches may be written as words."""
+    if kind is bool and not isinstance(value, bool):
+        word = str(value).strip().lower()
+        if word not in ("true", "false", "yes", "no", "on", "off", "1", "0"):
+            raise ValueError(f"{key} is a switch, not {value!r}")
+        return word in ("true", "yes", "on", "1")
+    return kind(value)

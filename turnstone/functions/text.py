@@ -30,6 +30,9 @@ aap bolo batao""".split()
 # Device names that no file may have.
 RESERVED_NAMES = ["CON", "PRN", "AUX", "NUL", *(f"COM{i}" for i in range(1, 10)), *(f"LPT{i}" for i in range(1, 10))]
 
+# Characters that no file name may have.
+NOT_IN_NAMES = r'[\x00-\x1f\\/*?:"<>|]'
+
 # Secrets in log lines, and what stands for them.
 SECRETS = [r"tx_(?:live|test)_[a-zA-Z0-9]{20,40}", r"(?i)Bearer\s+[a-zA-Z0-9._\-]+", r"(?i)password['\"]?\s*[:=]\s*['\"]?[^'\"]+['\"]?"]
 REDACTED = "[REDACTED_SECRET]"
@@ -81,8 +84,21 @@ def _unescape(texts: pa.Array) -> pa.Array:
 
 
 def unescape_entities(c: str | Column) -> Column:
-    """All HTML entities, named and numeric; Arrow batches, since Spark has no such function."""
-    return _unescape(col(c))
+    """All HTML entities, named and numeric; Arrow batches, since Spark has no such function.
+
+    Only texts with an ampersand leave the JVM.
+    """
+    return F.coalesce(_unescape(F.when(F.contains(col(c), F.lit("&")), col(c))), col(c))
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _unescape_each(lists: pa.Array) -> pa.Array:
+    return pa.array([x if x is None else [t if t is None else html.unescape(t) for t in x] for x in lists.to_pylist()], pa.list_(pa.string()))
+
+
+def unescape_all(texts: Column) -> Column:
+    """``unescape_entities`` of every text of an array; only arrays with an ampersand leave the JVM."""
+    return F.coalesce(_unescape_each(F.when(F.exists(texts, lambda t: F.contains(t, F.lit("&"))), texts)), texts)
 
 
 def remove_sound_tags(c: str | Column) -> Column:
@@ -149,7 +165,7 @@ def redact(c: str | Column) -> Column:
 
 def file_name(c: str | Column, fallback: str = "transcript") -> Column:
     """A safe base name: no separators or control characters, blanks as underscores, reserved names led by safe_."""
-    clean = F.regexp_replace(F.coalesce(col(c), F.lit("")), r'[\x00-\x1f\\/*?:"<>|]', "")
+    clean = F.regexp_replace(F.coalesce(col(c), F.lit("")), NOT_IN_NAMES, "")
     clean = F.btrim(F.regexp_replace(clean, f"{WS}+", "_"), F.lit(" ._"))
     reserved = F.upper(F.split_part(clean, F.lit("."), F.lit(1))).isin(RESERVED_NAMES)
     clean = F.when(reserved, F.concat(F.lit("safe_"), clean)).otherwise(clean)

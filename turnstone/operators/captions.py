@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from turnstone.functions.text import col, collapse_blanks, let, remove_sound_tags, strip, unescape_basic, words
+from turnstone.functions.text import col, collapse_blanks, let, remove_sound_tags, strip, unescape_all, unescape_entities, words
 from turnstone.functions.timing import clock
 
 SEGMENTS = "array<struct<text string, start double, duration double, confidence double, speaker string>>"
@@ -17,8 +17,13 @@ def _none() -> Column:
 
 
 def segment_tokens(text: Column) -> Column:
-    """A caption's words, entities decoded and sound tags gone."""
-    return words(remove_sound_tags(unescape_basic(text)))
+    """A caption's words with sound tags gone; entities are decoded before."""
+    return words(remove_sound_tags(text))
+
+
+def _texts(segments: str | Column) -> Column:
+    """The segments' texts with all entities decoded."""
+    return unescape_all(F.transform(F.coalesce(col(segments), F.array().cast(SEGMENTS)), lambda s: s["text"]))
 
 
 def deflickered(segments: str | Column, most: int = 8) -> Column:
@@ -34,16 +39,17 @@ def deflickered(segments: str | Column, most: int = 8) -> Column:
         sizes = F.sequence(F.lit(0), room)
         return F.array_max(F.filter(sizes, lambda k: low(F.slice(prev, F.size(prev) - k + 1, k)) == low(F.slice(now, F.lit(1), k))))
 
-    def step(acc: Column, now: Column) -> Column:
-        def add(over: Column) -> Column:
-            rest = F.slice(now, over + 1, F.size(now))
-            return F.when(over >= F.size(now), acc).otherwise(F.struct(F.concat(acc["out"], F.array(rest)).alias("out"), now.alias("prev")))
+    # The fold keeps the last caption and how much of this one repeats it; a caption's own step never copies what came before.
+    def fold(tokens: Column) -> Column:
+        def step(acc: Column, now: Column) -> Column:
+            return let(overlap(acc["prev"], now), lambda over: F.struct(F.array_append(acc["cuts"], over).alias("cuts"), F.when(over >= F.size(now), acc["prev"]).otherwise(now).alias("prev")))
 
-        return let(overlap(acc["prev"], now), add)
+        empty = F.struct(F.array().cast("array<int>").alias("cuts"), _none().alias("prev"))
+        cuts = F.aggregate(tokens, empty, step, lambda acc: acc["cuts"])
+        rest = F.zip_with(tokens, cuts, lambda now, over: F.slice(now, over + 1, F.size(now)))
+        return F.filter(rest, lambda r: F.size(r) > 0)
 
-    tokens = F.transform(F.coalesce(col(segments), F.array().cast(SEGMENTS)), lambda s: segment_tokens(s["text"]))
-    empty = F.struct(F.array().cast("array<array<string>>").alias("out"), _none().alias("prev"))
-    return F.aggregate(tokens, empty, step, lambda acc: acc["out"])
+    return let(F.transform(_texts(segments), segment_tokens), fold)
 
 
 def paragraphs(tokens: Column, least: int = 150) -> Column:
@@ -68,7 +74,7 @@ def paragraphs(tokens: Column, least: int = 150) -> Column:
 def normal_text(segments: str | Column, raw_text: str | Column, least: int = 150) -> Column:
     """Clean text of a transcript: its segments without flicker, or its raw text, in paragraphs; '' if wordless."""
     have = F.size(F.coalesce(col(segments), F.array().cast(SEGMENTS))) > 0
-    tokens = F.when(have, F.flatten(deflickered(segments))).otherwise(segment_tokens(F.coalesce(col(raw_text), F.lit(""))))
+    tokens = F.when(have, F.flatten(deflickered(segments))).otherwise(segment_tokens(unescape_entities(F.coalesce(col(raw_text), F.lit("")))))
     return strip(collapse_blanks(paragraphs(tokens, least)))
 
 

@@ -32,20 +32,66 @@ def version_totals(manifest: DataFrame) -> DataFrame:
     return manifest.agg(F.count("*").alias("total_sources"), F.coalesce(F.sum(F.coalesce(F.col("word_count").cast("long"), F.lit(0))), F.lit(0)).alias("total_words"))
 
 
-def snapshot(manifest: DataFrame, root: str, tag: str) -> str:
-    """Writes an immutable version; an existing tag is an error."""
+def mark_results(processed: DataFrame, failed: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(processed, failed) after a batch of ``results`` (``source_id, status, error_category, output_path, at``).
+
+    ``processed``: ``source_id, output_path, at``; ``failed``: ``source_id, error_category, retry_count, at``. Results
+    of a source count in order of ``at``: a success replaces its row and clears its failures, failures after it add to
+    the count, with the last one's category.
+    """
+    ok = F.col("status") == "SUCCESS"
+    won = F.max(F.when(ok, F.struct("at", "output_path"))).alias("won")
+    each = results.filter(F.col("source_id").isNotNull() & F.col("status").isin("SUCCESS", "FAILED"))
+    last = each.groupBy("source_id").agg(won, F.max(F.when(~ok, F.struct("at", "error_category"))).alias("lost"))
+    after = each.filter(~ok).join(last.select("source_id", "won"), "source_id").filter(F.col("won").isNull() | (F.col("at") > F.col("won.at")))
+    counts = after.groupBy("source_id").agg(F.count("*").alias("n"))
+    last = last.join(counts, "source_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    good = processed.join(last.select("source_id", "won"), "source_id", "full")
+    good = good.select("source_id", F.coalesce("won.output_path", "output_path").alias("output_path"), F.coalesce("won.at", "at").alias("at")).filter("at IS NOT NULL")
+    bad = failed.join(last, "source_id", "full")
+    count = F.coalesce("n", F.lit(0)) + F.when(F.col("won").isNull(), F.coalesce("retry_count", F.lit(0))).otherwise(0)
+    new = F.coalesce("n", F.lit(0)) > 0
+    bad = bad.select("source_id", F.when(new, F.col("lost.error_category")).otherwise(F.col("error_category")).alias("error_category"), count.alias("retry_count"), F.when(new, F.col("lost.at")).otherwise(F.col("at")).alias("at"))
+    return good, bad.filter("retry_count > 0")
+
+
+def version_meta(manifest: DataFrame, tag: str, dataset: str, pipeline_version: str, config_hash: str) -> DataFrame:
+    """One row: what a version holds and what made it."""
+    named = {"version_tag": tag, "dataset_name": dataset, "pipeline_version": pipeline_version, "config_hash": config_hash}
+    return version_totals(manifest).select(*[F.lit(v).alias(k) for k, v in named.items()], "total_sources", "total_words")
+
+
+def snapshot(manifest: DataFrame, root: str, tag: str, dataset: str = "default_dataset", pipeline_version: str = "1.0.0", config_hash: str = "default_config") -> str:
+    """Writes an immutable version, then its metadata; an existing tag is an error."""
     path = f"{root}/versions/{tag}"
     manifest.write.mode("errorifexists").parquet(path)
+    spark = manifest.sparkSession
+    meta = version_meta(spark.read.schema(manifest.schema).parquet(path), tag, dataset, pipeline_version, config_hash)
+    meta.coalesce(1).write.mode("overwrite").json(f"{root}/versions_meta/{tag}")
     return path
 
 
 def list_versions(spark, root: str) -> DataFrame:
-    """``version_tag`` of every snapshot, in order of name."""
+    """``version_tag, dataset_name, total_sources, total_words, pipeline_version, config_hash`` of every snapshot, by name.
+
+    A version without readable metadata has its tag alone.
+    """
     hadoop = spark._jvm.org.apache.hadoop.fs
     base = hadoop.Path(f"{root}/versions")
     fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
     tags = sorted(s.getPath().getName() for s in fs.listStatus(base) if s.isDirectory()) if fs.exists(base) else []
-    return spark.createDataFrame([(t,) for t in tags], "version_tag string")
+    rows = spark.createDataFrame([(t,) for t in tags], "version_tag string")
+    fields = "version_tag string, dataset_name string, total_sources bigint, total_words bigint, pipeline_version string, config_hash string"
+    found = [f"{root}/versions_meta/{t}" for t in tags if fs.exists(hadoop.Path(f"{root}/versions_meta/{t}"))]
+    meta = spark.read.schema(fields).json(found) if found else spark.createDataFrame([], fields)
+    return rows.join(meta.dropDuplicates(["version_tag"]), "version_tag", "left").orderBy("version_tag")
+
+
+def disk_totals(files: DataFrame) -> DataFrame:
+    """One row: ``files, words, characters`` of the texts that are there and not empty, whatever their hashes."""
+    rows = files.filter("content IS NOT NULL AND content <> ''")
+    zero = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    return rows.agg(F.count("*").alias("files"), zero(word_count("content")).alias("words"), zero(F.length("content")).alias("characters"))
 
 
 def audit(manifest: DataFrame, files: DataFrame) -> DataFrame:

@@ -32,3 +32,14 @@ def found_in_page(pages: DataFrame, page: str, text: str, pattern: str, limit: i
     if limit is not None:
         found = F.slice(found, 1, max(1, min(50, limit)))
     return pages.select(page, F.posexplode(found).alias("position", "id")).withColumn("position", F.col("position") + 1)
+
+
+def discovered(lines: DataFrame, column: str, position: str) -> DataFrame:
+    """``source_id, route, position``: the sources that lines of input name, each once, where it came first.
+
+    Comments and blank lines are left out; a line that leads nowhere has the route 'unknown' and its own text as id.
+    """
+    line = strip(F.regexp_replace(strip(F.col(column)), r"\s+#.*$", ""))
+    rows = lines.select(line.alias("line"), F.col(position).alias("position")).filter("line <> '' AND line NOT LIKE '#%'")
+    ids = F.coalesce(F.when(F.col("route") == "video", F.col("video_id")), F.when(F.col("route") == "playlist", F.col("playlist_id")), F.col("line"))
+    return routed(rows, "line").select(ids.alias("source_id"), "route", "position").groupBy("source_id", "route").agg(F.min("position").alias("position"))

@@ -32,21 +32,27 @@ def choose_transcript(transcripts: DataFrame) -> DataFrame:
     return ranked_pick(transcripts.filter("source_id IS NOT NULL"), "source_id", rank, F.col("transcript_id"))
 
 
-def process(sources: DataFrame, transcripts: DataFrame, config: Config = Config(), done: DataFrame | None = None) -> Run:
+def process(sources: DataFrame, transcripts: DataFrame, config: Config = Config(), done: DataFrame | None = None, frames: DataFrame | None = None) -> Run:
     """Gates, clean text, fingerprints and repeats of every source.
 
     Repeated sources and (with ``done``) sources handled before are SKIPPED; a source without a transcript fails with
-    NO_TRANSCRIPT. Every source of the input has a result. The gated rows are written once (see ``cut_lineage``); the
+    NO_TRANSCRIPT. Every source of the input has a result. With ``frames`` (``source_id, frame_id``) results hold how many
+    frames their source has. The gated rows are written once (see ``cut_lineage``); the
     manifest and all reports read them.
     """
     order = F.struct(F.col("discovered_at").cast("timestamp"), "item_id")
-    items = D.mark_repeats(sources.select("source_id", "source_type", "uri", "title", "item_id", order.alias("__order")).distinct(), "source_id", "__order")
+    items = D.mark_repeats(sources.select("source_id", "source_type", "uri", "title", "item_id", order.alias("__order")).distinct(), "source_id", "__order", "item_id")
     if done is not None and config.resume and not config.force:
         items = items.join(done.select("source_id", F.lit(True).alias("__done")).distinct(), "source_id", "left")
     else:
         items = items.withColumn("__done", F.lit(None).cast("boolean"))
     chosen = choose_transcript(transcripts).select("source_id", "transcript_source", "language_code", "segments", "raw_text", F.lit(True).alias("__found"))
     rows = items.join(chosen, "source_id", "left")
+    if frames is None:
+        rows = rows.withColumn("__frames", F.lit(0).cast("long"))
+    else:
+        counts = frames.filter("source_id IS NOT NULL").groupBy("source_id").agg(F.count_distinct("frame_id").alias("__frames"))
+        rows = rows.join(counts, "source_id", "left")
     text = C.normal_text("segments", "raw_text", config.words_per_paragraph)
     rows = rows.withColumn("text", text).withColumn("decision", G.language_decision("raw_text", "language_code", config.target_language))
     rows = rows.withColumn("quality", G.quality("text", F.size("segments"), G.mean_confidence("segments"), config.min_words, config.min_characters, config.max_repetition, config.max_abnormal))
@@ -60,7 +66,7 @@ def process(sources: DataFrame, transcripts: DataFrame, config: Config = Config(
             "source_id", "source_type", "uri", "title", "item_id", "transcript_source", "outcome.status", "outcome.error_category",
             F.col("decision.detected_language").alias("language"), F.col("quality.status").alias("quality_status"),
             F.col("quality.word_count").cast("long").alias("word_count"), F.col("quality.character_count").cast("long").alias("character_count"),
-            F.lit(0).cast("long").alias("visual_frame_count"), F.when(ok, F.col("text")).alias("text"),
+            F.coalesce("__frames", F.lit(0).cast("long")).alias("visual_frame_count"), F.when(ok, F.col("text")).alias("text"),
             F.when(ok, H.sha256("raw_text")).alias("raw_hash"), F.when(ok, H.sha256("text")).alias("text_hash"), F.when(ok, H.normalized_hash("text")).alias("normalized_hash"),
         )
     )

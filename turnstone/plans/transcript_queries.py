@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstone.functions import hashing as H
@@ -33,7 +33,7 @@ def text_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = X.single_spaced(X.remove_sound_tags(X.unescape_basic("text")))
+    text = X.single_spaced(X.remove_sound_tags(X.unescape_entities("text")))
     return table(spark, sf_dir, "transcript_segment").select("seg_id", X.strip_markup(text).alias("text"))
 
 
@@ -74,9 +74,15 @@ def vtt_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _transcripts(spark, sf_dir).filter("segments IS NOT NULL").select("transcript_id", "segments", C.to_json("segments", "raw_text", "language_code", source_id="source_id").alias("json"))
+    rows = _transcripts(spark, sf_dir).select("transcript_id", "segments", C.to_json("segments", "raw_text", "language_code", source_id="source_id").alias("json"))
     doc = F.from_json("json", "source_id string, language string, text string, segments array<struct<start double, end double, duration double, text string, confidence double>>")
-    return rows.withColumn("d", doc).select("transcript_id", "d.source_id", "d.language", "d.text", F.size("d.segments").alias("n_segments"), F.size(F.filter("d.segments", lambda s: s["confidence"].isNotNull())).alias("n_confident"))
+    return rows.withColumn("d", doc).select("transcript_id", "d.source_id", "d.language", "d.text", F.coalesce(F.size("d.segments"), F.lit(0)).alias("n_segments"), _json_cues("d.segments").alias("cues"))
+
+
+def _json_cues(segments: str) -> Column:
+    """Segments as lines of start, end and text, times in milliseconds."""
+    ms = lambda x: F.round(x * 1000).cast("long").cast("string")
+    return F.array_join(F.transform(segments, lambda s: F.concat_ws(" ", ms(s["start"]), ms(s["end"]), F.when(s["confidence"].isNull(), "-").otherwise("c"), s["text"])), "\n")
 
 
 def subtitle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +132,7 @@ def content_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that were found again, marked against the first discovery of their source."""
-    return D.mark_repeats(table(spark, sf_dir, "source_item").select("item_id", "source_id", "discovered_at"), "source_id", "discovered_at")
+    return D.mark_repeats(table(spark, sf_dir, "source_item").select("item_id", "source_id", "discovered_at"), "source_id", "discovered_at", "item_id")
 
 
 def first_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,7 +297,7 @@ ORACLE = {
     "paragraphs": _paragraphs(60) + "SELECT transcript_id, text FROM norm",
     "srt_export": f"SELECT transcript_id, array_to_string({_cues(',', 'i || chr(10) || ')}, chr(10)) AS srt FROM raw_transcript WHERE segments IS NOT NULL",
     "vtt_export": f"SELECT transcript_id, array_to_string(list_prepend('WEBVTT' || chr(10), {_cues('.', '')}), chr(10)) AS vtt FROM raw_transcript WHERE segments IS NOT NULL",
-    "json_export": "SELECT transcript_id, source_id, language_code AS language, raw_text AS text, len(segments) AS n_segments, len(list_filter(segments, lambda s: s.confidence IS NOT NULL)) AS n_confident FROM raw_transcript WHERE segments IS NOT NULL",
+    "json_export": "SELECT transcript_id, source_id, language_code AS language, raw_text AS text, CAST(coalesce(len(segments), 0) AS INT) AS n_segments, array_to_string(list_transform(segments, lambda s: concat_ws(' ', CAST(round(s.start * 1000) AS BIGINT), CAST(round((s.start + s.duration) * 1000) AS BIGINT), CASE WHEN s.confidence IS NULL THEN '-' ELSE 'c' END, s.text)), chr(10)) AS cues FROM raw_transcript",
     "subtitle_round_trip": f"""SELECT transcript_id, len(k) AS n, CAST(coalesce(list_sum(list_transform(k, lambda s: CAST(round(s.start * 1000) AS BIGINT))), 0) AS BIGINT) AS start_ms,
         array_to_string(list_transform(k, lambda s: {_single("regexp_replace(s.text, '<[^<>]*>', '', 'g')")}), ' ') AS text
         FROM (SELECT transcript_id, list_filter(segments, lambda s: {_single("regexp_replace(s.text, '<[^<>]*>', '', 'g')")} <> '') AS k FROM raw_transcript WHERE segments IS NOT NULL)""",
@@ -319,7 +325,7 @@ ORACLE = {
                           WHEN status NOT IN ('GOOD', 'SUSPICIOUS') THEN 'QUALITY_FAILURE' END AS cat FROM d) GROUP BY 1, 2""",
     "content_owners": f"""SELECT doc_id, CASE WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY {_single('lower(text)')}) END AS owner,
         CASE WHEN text IS NULL OR doc_id = min(doc_id) OVER (PARTITION BY {_single('lower(text)')}) THEN 'UNIQUE' ELSE 'POSSIBLE_DUPLICATE_CONTENT' END AS status FROM documents""",
-    "source_repeats": "SELECT item_id, source_id, discovered_at, discovered_at > min(discovered_at) OVER (PARTITION BY source_id) AS is_repeat FROM source_item",
+    "source_repeats": "SELECT item_id, source_id, discovered_at, dense_rank() OVER (PARTITION BY source_id ORDER BY discovered_at NULLS LAST, item_id) > 1 AND source_id IS NOT NULL AS is_repeat FROM source_item",
     "first_sources": "SELECT source_id, min(discovered_at) AS discovered_at FROM source_item GROUP BY 1",
     "sources_to_do": "SELECT DISTINCT source_id, item_id FROM source_item WHERE source_id NOT IN (SELECT source_id FROM raw_transcript WHERE source_id IS NOT NULL)",
     "sources_to_insert": "SELECT source_id, min(discovered_at) AS discovered_at FROM source_item WHERE source_id NOT IN (SELECT source_id FROM transcript_segment WHERE source_id IS NOT NULL) GROUP BY 1",

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from turnstone.functions.text import file_name
+from turnstone.functions.text import file_name, strip
+from turnstone.functions.timing import clock_short
 from turnstone.operators import captions as C
 
 
@@ -43,25 +44,56 @@ def append_lines(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def write_stats(counters: DataFrame, path: str) -> None:
+    """The one-row summary of a run as JSON."""
+    counters.coalesce(1).write.mode("overwrite").json(path, ignoreNullFields=False)
+
+
+# Labels of the page's head and captions.
+_HEAD = {"id": "- **Source ID**: `", "platform": "- **Platform**: `", "uri": "- **URI**: ", "author": "- **Author / Channel**: ", "date": "- **Date**: "}
+_CAPTION = {"time": "Timestamp: ", "kind": "Type: ", "description": "Description: ", "confidence": "Confidence: "}
+
+
+def _given(c: Column) -> Column:
+    return F.nullif(c, F.lit(""))
+
+
 def to_markdown(df: DataFrame) -> DataFrame:
     """``source_id, markdown``: a page per source with its segments and their frames.
 
-    ``df`` has ``source_id, title, uri, segments`` with segments ``array<struct<start, end, text, speaker, frames
-    array<struct<timestamp, file_path, visual_type, description, confidence>>>>``.
+    ``df`` has ``source_id, source_type, uri, title, author, upload_date, segments`` with segments ``array<struct<start,
+    end, text, speaker, frames array<struct<timestamp, frame_id, file_path, visual_type, description, confidence>>>>``.
+    A frame without a file is shown by its id.
     """
-    from turnstone.functions.timing import clock_short
+    line = lambda label, c, close="": F.concat(F.lit(label), c, F.lit(close + "\n"))
 
-    def frame(f):
+    def frame(f: Column) -> Column:
+        at = clock_short(f["timestamp"])
         parts = F.array_compact(F.array(
-            F.concat(F.lit("Timestamp: "), clock_short(f["timestamp"])), F.concat(F.lit("Type: "), f["visual_type"]),
-            F.concat(F.lit("Description: "), F.nullif(f["description"], F.lit(""))), F.concat(F.lit("Confidence: "), F.format_string("%.2f", f["confidence"])),
+            F.concat(F.lit(_CAPTION["time"]), at), F.concat(F.lit(_CAPTION["kind"]), f["visual_type"]),
+            F.concat(F.lit(_CAPTION["description"]), _given(f["description"])), F.concat(F.lit(_CAPTION["confidence"]), F.format_number(f["confidence"], 2)),
         ))
-        return F.concat(F.lit("![Frame at "), clock_short(f["timestamp"]), F.lit("]("), F.coalesce(f["file_path"], F.lit("")), F.lit(")\n*"), F.array_join(parts, " | "), F.lit("*\n"))
-
-    def segment(s):
-        who = F.coalesce(F.concat(F.lit("**"), F.nullif(s["speaker"], F.lit("")), F.lit("**: ")), F.lit(""))
-        body = F.concat(F.lit("### ["), clock_short(s["start"]), F.lit(" - "), clock_short(s["end"]), F.lit("]\n"), who, s["text"], F.lit("\n"))
-        return F.array_join(F.concat(F.array(body), F.transform(F.coalesce(s["frames"], F.array()), frame)), "\n")
-
-    head = F.concat(F.lit("# "), F.coalesce("title", "source_id"), F.lit("\n\n- **Source ID**: `"), F.col("source_id"), F.lit("`\n- **URI**: "), F.coalesce("uri", F.lit("")), F.lit("\n\n---\n"))
-    return df.select("source_id", F.array_join(F.concat(F.array(head), F.transform("segments", segment)), "\n").alias("markdown"))
+        path = F.coalesce(_given(f["file_path"]), F.concat(F.lit("frame_"), f["frame_id"]))
+        return F.concat(F.lit("![Frame at "), at, F.lit("]("), path, F.lit(")\n*"), F.array_join(parts, " | "), F.lit("*\n\n"))
+
+    def segment(s: Column) -> Column:
+        who = F.coalesce(F.concat(F.lit("**"), _given(s["speaker"]), F.lit("**: ")), F.lit(""))
+        body = F.concat(F.lit("### ["), clock_short(s["start"]), F.lit(" - "), clock_short(s["end"]), F.lit("]\n"), who, F.coalesce(s["text"], F.lit("")), F.lit("\n\n"))
+        return F.concat(body, F.array_join(F.transform(F.coalesce(s["frames"], F.array()), frame), ""))
+
+    optional = lambda label, c: F.coalesce(line(label, _given(F.col(c))), F.lit(""))
+    head = F.concat(
+        line("# ", F.coalesce(_given(F.col("title")), F.col("source_id"))), F.lit("\n"), line(_HEAD["id"], F.col("source_id"), "`"), line(_HEAD["platform"], F.coalesce("source_type", F.lit("")), "`"),
+        line(_HEAD["uri"], F.coalesce("uri", F.lit(""))), optional(_HEAD["author"], "author"), optional(_HEAD["date"], "upload_date"), F.lit("\n---\n\n"),
+    )
+    page = F.concat(head, F.array_join(F.transform("segments", segment), ""))
+    return df.select("source_id", F.concat(strip(page), F.lit("\n")).alias("markdown"))
+
+
+def to_multimodal_json(df: DataFrame) -> DataFrame:
+    """``source_id, json``: one object per source with its segments and their frames; nulls are kept. Columns as in ``to_markdown``."""
+    segments = F.transform("segments", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), s["speaker"].alias("speaker"), s["frames"].alias("visual_frames")))
+    frames = F.flatten(F.transform("segments", lambda s: s["frames"]))
+    title = F.coalesce(_given(F.col("title")), F.col("source_id")).alias("title")
+    doc = F.struct("source_id", "source_type", "uri", title, "author", "upload_date", F.size(frames).alias("visual_frame_count"), segments.alias("segments"), frames.alias("visual_frames"))
+    return df.select("source_id", F.to_json(doc, {"ignoreNullFields": "false"}).alias("json"))

@@ -43,7 +43,7 @@ def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as attempts of their order's job."""
     rows = table(spark, sf_dir, "lineitem")
-    attempt = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    attempt = F.concat_ws("-", *[F.col(c).cast("long").cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")])
     return rows.select(attempt.alias("attempt_id"), F.col("l_orderkey").alias("job_id"), F.col("l_shipdate").cast("timestamp").alias("heartbeat_at"), F.lit(None).cast("timestamp").alias("completed_at"), F.lit("ACCEPTED").alias("stage"), "l_returnflag", "l_linestatus", "l_quantity")
 
 
@@ -319,7 +319,7 @@ QUERIES |= {"track_auto": _choice("auto"), "track_en": _choice("en"), "track_en_
 
 _JOBS = """j AS (SELECT o_orderkey AS job_id, o_custkey AS org_id, CASE o_orderstatus WHEN 'O' THEN 'QUEUED' WHEN 'F' THEN 'COMPLETED' ELSE 'FAILED' END AS state, 6 - CAST(left(o_orderpriority, 1) AS INT) AS priority,
   o_orderdate AS created_at, CAST(o_custkey % 3 AS INT) AS attempt_count FROM orders),
-a AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS attempt_id, l_orderkey AS job_id, l_shipdate AS beat, * FROM lineitem)"""
+a AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT)) AS attempt_id, l_orderkey AS job_id, l_shipdate AS beat, * FROM lineitem)"""
 _TOP = "t AS (SELECT *, row_number() OVER (ORDER BY priority DESC, created_at, job_id) AS n FROM j WHERE state = 'QUEUED' QUALIFY n <= 40)"
 _ID = "'{p}' || left(sha256(concat_ws(chr(31), {x})), 12)"
 _LINEAGE = f"""n AS (SELECT {_ID.format(p='lin_', x="source_id, 'NORMALIZED', sha256(raw_text), sha256(raw_text || chr(10))")} AS id, source_id AS job_id, 'NORMALIZED' AS stage, sha256(raw_text) AS input_hashes, sha256(raw_text || chr(10)) AS output_hashes,

@@ -52,12 +52,15 @@ def merge_rolling(texts: list[str], least: int = OVERLAP_LEAST) -> list[str]:
 
     The longest overlap of at least ``least`` words counts, however long, compared without case.
     """
+    if len(texts) == 1:
+        return [" ".join((texts[0] or "").split())]
     out: list[str] = []
     low: list[str] = []
     for text in texts:
         new = (text or "").split()
         new_low = [w.lower() for w in new]
-        cut = _overlap(low, new_low)
+        # The last word so far ends any overlap, so it stands in the new text at its end.
+        cut = _overlap(low, new_low) if low and low[-1] in new_low[least - 1 :] else 0
         if cut < least:
             cut = 0
         out.append(" ".join(new[cut:]))
@@ -65,32 +68,40 @@ def merge_rolling(texts: list[str], least: int = OVERLAP_LEAST) -> list[str]:
     return out
 
 
-def merge_utterances(said: list[dict], pause: float | None, least: int = OVERLAP_LEAST) -> list[dict]:
+#: start, end, first_seg_id, last_seg_id, n_segments, text
+Utterance = tuple[float, float, int, int, int, str]
+
+
+def merge_utterances(said: list[Utterance], pause: float | None, least: int = OVERLAP_LEAST) -> list[Utterance]:
     """Joins what one speaker said in a row to utterances; those after a pause of more than ``pause`` seconds stay apart.
 
     ``said`` is in order; its members and those of the result are utterances of their own, so results can be merged again.
     """
-    out: list[dict] = []
-    for u, text in zip(said, merge_rolling([u["text"] for u in said], least)):
-        if out and (pause is None or u["start"] - out[-1]["end"] <= pause):
-            last = out[-1]
-            last["end"] = max(last["end"], u["end"])
-            last["n_segments"] += u["n_segments"] - (last["last_seg_id"] == u["first_seg_id"])
-            last["last_seg_id"] = u["last_seg_id"]
-            last["text"] = f"{last['text']} {text}" if last["text"] and text else last["text"] or text
+    out: list[Utterance] = []
+    for (start, end, first, last, n, _), text in zip(said, merge_rolling([u[5] for u in said], least)):
+        if out and (pause is None or start - out[-1][1] <= pause):
+            was = out[-1]
+            out[-1] = (was[0], max(was[1], end), was[2], last, was[4] + n - (was[3] == first), f"{was[5]} {text}" if was[5] and text else was[5] or text)
         else:
-            out.append({**u, "text": text})
+            out.append((start, end, first, last, n, text))
     return out
 
 
-_UTTERANCE = T.StructType([T.StructField(k, t) for k, t in (("start", T.DoubleType()), ("end", T.DoubleType()), ("first_seg_id", T.LongType()), ("last_seg_id", T.LongType()), ("n_segments", T.IntegerType()), ("text", T.StringType()))])
-_UTTERANCES = T.ArrayType(_UTTERANCE)
-_ARROW = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64()), ("first_seg_id", pa.int64()), ("last_seg_id", pa.int64()), ("n_segments", pa.int32()), ("text", pa.string())]))
+_FIELDS = (("start", T.DoubleType(), pa.float64()), ("end", T.DoubleType(), pa.float64()), ("first_seg_id", T.LongType(), pa.int64()), ("last_seg_id", T.LongType(), pa.int64()), ("n_segments", T.IntegerType(), pa.int32()), ("text", T.StringType(), pa.string()))
 
 
-@F.arrow_udf(_UTTERANCES)
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField(k, t) for k, t, _ in _FIELDS])))
 def _merged(said: pa.Array, pause: pa.Array) -> pa.Array:
-    return pa.array([merge_utterances(x, p) for x, p in zip(said.to_pylist(), pause.to_pylist())], _ARROW)
+    flat = said.flatten()
+    rows = list(zip(*(flat.field(k).to_pylist() for k, _, _ in _FIELDS)))
+    out, offsets, at = [], [0], 0
+    for n, p in zip(said.value_lengths().fill_null(0).to_pylist(), pause.to_pylist()):
+        out += merge_utterances(rows[at : at + n], p)
+        at += n
+        offsets.append(len(out))
+    columns = zip(*out) if out else [()] * len(_FIELDS)
+    struct = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, _, t) in zip(columns, _FIELDS)], names=[k for k, _, _ in _FIELDS])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct)
 
 
 _SAID = T.ArrayType(T.StructType([T.StructField("speaker_id", T.LongType()), T.StructField("said", T.StringType())]))

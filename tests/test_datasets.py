@@ -23,7 +23,31 @@ def test_alignment(spark):
     assert got == {"f0": (1, True), "f1": (1, True), "f2": (2, True), "f3": (3, True), "f4": (3, False), "f5": (1, True), "f6": (9, False), "f7": (9, False), "f8": (None, False)}
 
 
+def test_spans_of_any_length(spark):
+    """One corrupt end time neither explodes nor hides a pair; sweeps are those of a plain search."""
+    import random
+
+    r = random.Random(8)
+    segs = [(i, r.choice("ab"), round(r.uniform(0, 3000), 3), r.choice([0.0, 2.5, 40.0, 900.0])) for i in range(60)] + [(900, "a", 5.0, 4e12), (901, "b", 100.0, 1e6)]
+    frames = [(f"f{i}", r.choice("ab"), round(r.uniform(-50, 4000), 3)) for i in range(80)] + [("far", "a", 9e8), ("farther", "b", 9e8)]
+    seg = spark.createDataFrame(segs, "seg_id bigint, source_id string, start double, duration double")
+    fr = spark.createDataFrame(frames, "frame_id string, source_id string, timestamp double")
+    ms = lambda x: round(x * 1000)
+    pairs = {(f, g) for f, s, t in frames for g, v, a, d in segs if s == v and ms(a) <= ms(t) <= ms(a + d)}
+    assert {(x.frame_id, x.seg_id) for x in A.frames_within(fr, seg, 5000).collect()} == pairs and ("far", 900) in pairs
+    got = {x.frame_id: x.seg_id for x in A.align_frames(fr, seg, 5000).collect()}
+    for f, s, t in frames:
+        own = [(ms(a), ms(a + d), g) for g, v, a, d in segs if v == s]
+        inside = [(a, g) for a, z, g in own if a <= ms(t) <= z]
+        want = min(inside)[1] if inside else min((min(abs(ms(t) - a), abs(ms(t) - z)), a, g) for a, z, g in own)[2]
+        assert got[f] == want
+    talk = spark.createDataFrame([("a", "x", 0.0, 4e9), ("a", "y", 10.0, 20.0)], "source_id string, speaker string, start double, end double")
+    best = {x.seg_id: (x.speaker, x.overlap_ms) for x in A.assign_speakers(seg, talk, 5000).collect()}
+    assert best[900] == ("X", 4_000_000_000_000 - 5000) and best[901] == (None, 0)
+
+
 def test_plans_of_frames_and_audio(spark):
+    assert A.frame_interval(0.2) == 1.0 and [list(r[0]) for r in spark.createDataFrame([(1.0,)], "d double").select(A.frame_times("d", 0.25)).collect()] == [[0.0, 0.25, 0.5, 0.75]]
     rows = spark.createDataFrame([(25.0,), (0.0,), (None,), (1250.0,)], "d double").select(A.frame_times("d", 10.0), A.audio_pieces("d")).collect()
     assert [r[0] for r in rows][:3] == [[0.0, 10.0, 20.0], [], []] and [tuple(p) for p in rows[3][1]] == [(0.0, 600.0), (600.0, 600.0), (1200.0, 50.0)]
 
@@ -103,7 +127,11 @@ def test_files(spark, tmp_path):
     assert subs == {"srt": [("Hello there", 1.0, 1.5)], "vtt": [("Hi", 1.0, 1.0)]}
     rows = spark.createDataFrame([("x", "Same: title", "en"), ("y", "Same title", "en"), ("z", None, "en")], "source_id string, title string, language string")
     assert {r.source_id: r.target for r in out.target_names(rows, "language", "title", "source_id").collect()} == {"x": "en/Same_title", "y": "en/Same_title_y", "z": "en/z"}
-    manifest = spark.createDataFrame([("x", "GOOD", 5)], "source_id string, quality string, word_count bigint")
+    twice = spark.createDataFrame([("x", "Same", "en"), ("x", "Same", "en"), ("w", "Same", "en")], "source_id string, title string, language string")
+    assert sorted(r.target for r in out.target_names(twice, "language", "title", "source_id").collect()) == ["en/Same", "en/Same_x", "en/Same_x_01"]
+    assert {r.parent_collection for r in videos.collect()} == {"v", "deep"} and len({r.source_id for r in videos.collect()}) == 2
+    assert [r.path.rsplit("/", 1)[1] for r in src.listing(spark, str(tmp_path / "v"), prefix="a b").collect()] == sorted(["a b.en.srt", "a b.mp4", "a b.vtt"])
+    manifest = spark.createDataFrame([("x", "BAD", 4), ("x", "GOOD", 5)], "source_id string, quality string, word_count bigint").coalesce(1)
     out.write_manifest(manifest, str(tmp_path / "m"))
     back = src.manifest(spark, str(tmp_path / "m" / "manifest.json")).first()
     assert (back.source_id, back.quality_status, back.word_count, back.title) == ("x", "GOOD", 5, None)
@@ -117,8 +145,15 @@ def test_streams(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     stream = lambda: S.table_stream(spark, str(tmp_path), "events", 1)
     assert S.run_available(S.first_deliveries(stream(), "key", "ts"), folder=str(tmp_path / "w1")).count() == 5
-    sums = S.run_available(S.windowed_metrics(stream(), "ts", "metric", "value", "10 seconds"), "complete", str(tmp_path / "w2"))
+    closed = S.replayed(spark, str(tmp_path), "events", "ts", ["metric", "value"], files=3)
+    sums = S.run_available(S.windowed_metrics(closed, "ts", "metric", "value", "10 seconds", delay="2 seconds"), str(tmp_path / "w2"))
     assert sorted(r.total for r in sums.collect()) == [45, 145]
+    late = df.withColumn("ts", F.when(F.col("value") == 3, F.col("ts")).otherwise(F.col("ts") + F.expr("INTERVAL 1 HOUR"))).orderBy("ts")
+    late.filter("value <> 3").coalesce(1).write.parquet(str(tmp_path / "late" / "a"))
+    late.filter("value = 3 OR value = 19").withColumn("ts", F.when(F.col("value") == 3, F.col("ts")).otherwise(F.col("ts") + F.expr("INTERVAL 1 DAY"))).coalesce(1).write.parquet(str(tmp_path / "late" / "b"))
+    both = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "late"))
+    sums = S.run_available(S.windowed_metrics(both, "ts", "metric", "value", "10 seconds", delay="2 seconds"), str(tmp_path / "w3"))
+    assert sorted(r.total for r in sums.collect()) == [42, 145]  # the row that came an hour late is in no window
     S.upsert_stream(stream(), str(tmp_path / "t"), "key", "ts", str(tmp_path / "cp"))
     assert sorted(r.value for r in spark.read.parquet(str(tmp_path / "t" / "g=0")).collect()) == [15, 16, 17, 18, 19]
 
@@ -154,6 +189,9 @@ def test_config(tmp_path):
     assert config.load(tmp_path / "c.toml", "fast", min_words=7) == config.Config(target_language="en", min_words=7, speech_model="tiny", frame_interval_seconds=15.0)
     with pytest.raises(ValueError, match="nothing"):
         config.load(nothing=1)
+    assert [config.load(resume=x).resume for x in ("false", "0", "No", True, "yes")] == [False, False, False, True, True]
+    with pytest.raises(ValueError, match="switch"):
+        config.load(resume="perhaps")
 
 
 def test_pipeline(spark):
@@ -165,3 +203,6 @@ def test_pipeline(spark):
     assert run.manifest.count() == n.processed > 0 and run.manifest.filter("text_hash IS NULL OR dedup_status IS NULL").count() == 0
     again = process(sources, transcripts, config.Config(target_language="en"), done=run.manifest)
     assert again.counters.first().processed == 0
+    frames = sources.select("source_id", F.explode(A.frame_times("duration_seconds", 60.0)).alias("t")).select("source_id", F.col("t").cast("string").alias("frame_id"))
+    seen = process(sources, transcripts, config.Config(target_language="en"), frames=frames).counters.first()
+    assert seen.total_visual_frames > 0 and seen.processed == n.processed

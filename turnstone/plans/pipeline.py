@@ -32,6 +32,12 @@ def choose_transcript(transcripts: DataFrame) -> DataFrame:
     return ranked_pick(transcripts.filter("source_id IS NOT NULL"), "source_id", rank, F.col("transcript_id"))
 
 
+def planned(sources: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """``source_id, title, transcript_source``: what a run would process, without reading a text (a dry run)."""
+    chosen = choose_transcript(transcripts.select("source_id", "transcript_id", "transcript_source")).select("source_id", "transcript_source")
+    return sources.filter("source_id IS NOT NULL").groupBy("source_id").agg(F.max("title").alias("title")).join(chosen, "source_id", "left")
+
+
 def process(sources: DataFrame, transcripts: DataFrame, config: Config = Config(), done: DataFrame | None = None, frames: DataFrame | None = None) -> Run:
     """Gates, clean text, fingerprints and repeats of every source.
 

@@ -10,18 +10,18 @@ from turnstone.streaming import streams as S
 
 
 def stream_first_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = S.table_stream(spark, sf_dir, "events").select("event_id", "ts", "event_type")
-    return S.run_available(S.first_deliveries(events, "event_id", "ts", "40 days")).select("event_id", "event_type")
+    events = S.replayed(spark, sf_dir, "events", "ts", ["event_id", "event_type"]).filter("event_id IS NOT NULL")
+    return S.run_available(S.first_deliveries(events, "event_id", "ts")).select("event_id", "event_type")
 
 
 def stream_daily_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = S.table_stream(spark, sf_dir, "events").select("ts", "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"))
-    return S.run_available(S.windowed_metrics(events, "ts", "event_type", "cents", delay="40 days"), "complete")
+    events = S.replayed(spark, sf_dir, "events", "ts", ["event_type", "value"])
+    return S.run_available(S.windowed_metrics(events.select("ts", "event_type", F.round(F.col("value") * 100).cast("long").alias("cents")), "ts", "event_type", "cents"))
 
 
 def stream_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = S.table_stream(spark, sf_dir, "events").select("ts", "user_id")
-    return S.run_available(S.lease_sessions(events, "user_id", "ts", "6 hours", "40 days"), "complete")
+    events = S.replayed(spark, sf_dir, "events", "ts", ["user_id"])
+    return S.run_available(S.lease_sessions(events, "user_id", "ts", "6 hours"))
 
 
 def batch_daily_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,14 +12,20 @@ from turnstone.operators import captions as C
 
 
 def target_names(df: DataFrame, folder: str, title: str, source_id: str) -> DataFrame:
-    """``df`` with ``target``: folder and safe title; titles that clash get the id, and a number if that clashes too."""
+    """``df`` with ``target``: folder and safe title; titles that clash get the id, and a number if that clashes too.
+
+    The bare title goes to the smallest id, which is found by aggregation; only rows of one id are numbered in a sort.
+    """
     stem = file_name(F.coalesce(F.nullif(F.col(title), F.lit("")), F.col(source_id)))
-    n = F.row_number().over(Window.partitionBy(folder, "__stem").orderBy(source_id))
-    rows = df.withColumn("__stem", stem).withColumn("__n", n)
-    again = F.row_number().over(Window.partitionBy(folder, "__stem", source_id).orderBy("__n"))
+    rows = df.withColumn("__stem", stem)
+    again = F.row_number().over(Window.partitionBy(folder, "__stem", source_id).orderBy(F.monotonically_increasing_id()))
     rows = rows.withColumn("__again", again)
-    name = F.when(F.col("__n") == 1, F.col("__stem")).when(F.col("__again") == 1, F.concat("__stem", F.lit("_"), file_name(source_id))).otherwise(F.concat("__stem", F.lit("_"), F.format_string("%02d", F.col("__n") - 1)))
-    return rows.withColumn("target", F.concat_ws("/", F.col(folder), name)).drop("__stem", "__n", "__again")
+    first = rows.groupBy(F.col(folder).alias("__f"), F.col("__stem").alias("__s")).agg(F.min(source_id).alias("__first"))
+    rows = rows.join(first, F.col(folder).eqNullSafe(F.col("__f")) & (F.col("__stem") == F.col("__s")))
+    bare = F.col(source_id).eqNullSafe(F.col("__first"))
+    named = F.when(bare, F.col("__stem")).otherwise(F.concat("__stem", F.lit("_"), file_name(source_id)))
+    name = F.when(F.col("__again") == 1, named).otherwise(F.concat("__stem", F.lit("_"), file_name(source_id), F.lit("_"), F.format_string("%02d", F.col("__again") - 1)))
+    return rows.withColumn("target", F.concat_ws("/", F.col(folder), name)).drop("__stem", "__again", "__f", "__s", "__first")
 
 
 def write_transcripts(df: DataFrame, path: str, by: str | None = None) -> None:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnstone.functions.hashing import file_id
 from turnstone.functions.text import content_type
@@ -12,6 +14,7 @@ from turnstone.operators.captions import parse_cues
 from turnstone.operators.discovery import listed_lines
 from turnstone.operators.queueing import ranked_pick
 
+# The columns of a manifest.
 MANIFEST = """source_id STRING, source_type STRING, uri STRING, title STRING, output_path STRING, transcript_source STRING,
 stt_backend STRING, stt_model STRING, language STRING, quality_status STRING, quality STRING, word_count BIGINT,
 character_count BIGINT, duration_seconds DOUBLE, transcript_hash STRING, normalized_hash STRING, confidence DOUBLE,
@@ -19,19 +22,44 @@ processed_at STRING, status STRING, notes STRING, visual_frame_count BIGINT, mul
 upload_date STRING"""
 
 
-def listing(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """``path, size, modified_at, content_type`` of all files; their contents are not read."""
+def listing(spark: SparkSession, folder: str, recursive: bool = True, prefix: str = "") -> DataFrame:
+    """``path, size, modified_at, content_type`` of all files below ``folder/prefix``, by path; their contents are not read."""
+    folder = f"{folder.rstrip('/')}/{prefix}*" if prefix else folder
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), content_type("path").alias("content_type"))
+    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), content_type("path").alias("content_type")).orderBy("path")
+
+
+#: Bytes of a file that its id depends on.
+PREFIX = 16_384
+
+
+@F.arrow_udf(T.BinaryType())
+def _beginnings(paths: pa.Array) -> pa.Array:
+    """The first bytes of files, read on the executors; null for a file that cannot be read."""
+    from pyarrow import fs
+
+    out = []
+    for path in paths.to_pylist():
+        try:
+            system, inner = fs.FileSystem.from_uri(path)
+            with system.open_input_file(inner) as f:
+                out.append(f.read(PREFIX))
+        except OSError:
+            out.append(None)
+    return pa.array(out, pa.binary())
 
 
 def videos(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """Source items of the video files of a folder, with ids that stay the same as long as the files do."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    """Source items of the video files of a folder, with ids that stay the same as long as the files do.
+
+    Only the first ``PREFIX`` bytes of a file are read; ids are made of the absolute path, without its scheme.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder).select("path", "length")
     suffix = F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1))
-    files = files.filter(suffix.isin(VIDEO_SUFFIXES))
+    files = files.filter(suffix.isin(VIDEO_SUFFIXES)).withColumn("plain", F.regexp_replace("path", "^file:/+", "/")).withColumn("begin", F.coalesce(_beginnings("path"), F.lit(b"")))
     stem = F.regexp_extract("path", r"([^/\\]*?)(?:\.[^./\\]*)?$", 1)
-    return files.select(F.lit("LOCAL_FILE").alias("source_type"), file_id("path", "length", "content").alias("source_id"), F.col("path").alias("uri"), stem.alias("title"), F.col("length").alias("file_size_bytes"), suffix.alias("container_format"))
+    parent = F.element_at(F.split("plain", "/"), -2)
+    return files.select(F.lit("LOCAL_FILE").alias("source_type"), file_id("plain", "length", "begin").alias("source_id"), F.col("path").alias("uri"), stem.alias("title"), F.col("length").alias("file_size_bytes"), suffix.alias("container_format"), parent.alias("parent_collection"))
 
 
 def link_list(spark: SparkSession, path: str) -> DataFrame:
@@ -53,8 +81,12 @@ def sibling_subtitles(videos_: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A manifest written as a JSON array or as lines; unknown keys are dropped, ``quality`` stands in for its newer name."""
-    rows = spark.read.schema(MANIFEST).json(path, multiLine=True, mode="PERMISSIVE")
+    """A manifest written as a JSON array or as lines; unknown keys are dropped, ``quality`` stands in for its newer name.
+
+    Of several rows of one source the last counts.
+    """
+    rows = spark.read.schema(MANIFEST).json(path, multiLine=True, mode="PERMISSIVE").withColumn("__at", F.monotonically_increasing_id())
+    rows = ranked_pick(rows, "source_id", -F.col("__at")).drop("__at")
     return rows.withColumn("quality_status", F.coalesce("quality_status", "quality")).drop("quality")
 
 

@@ -1,7 +1,8 @@
 """Streams of job events: idempotent intake, windowed metrics, leases that run out, keyed upserts.
 
-Everything here is built-in stateful processing; state is bounded by the watermark. ``run_available`` drains what is
-there and stops, which makes a stream's result comparable with the batch query.
+Everything here is built-in stateful processing in append mode: a window or session comes out once the watermark has
+passed it, and its state is dropped. ``run_available`` drains what is there and stops; where the last rows close all
+windows before them (``replayed`` adds such a row), a stream's result is that of the batch query.
 """
 
 from __future__ import annotations
@@ -30,6 +31,28 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: i
     return reader.parquet(path)
 
 
+def replayed(spark: SparkSession, sf_dir: str, name: str, at: str, columns: list[str], files: int = 6, after: str = "100 days") -> DataFrame:
+    """A table as a stream of ``files`` batches in order of ``at``, and a last row, all null but for ``at``, that closes every window.
+
+    The last row lies ``after`` the others; its own window stays open, so it is in no result.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(at, *columns).withColumn(at, F.col(at).cast("timestamp"))
+    folder = f"{work_folder(spark)}/in"
+    rows.repartitionByRange(files, at).write.parquet(folder)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    listed = lambda: sorted(n for f in fs.listStatus(path) if (n := f.getPath().getName()).endswith(".parquet"))
+    parts = listed()
+    last = spark.read.schema(rows.schema).parquet(folder).agg(F.max(at).alias(at))
+    last = last.select((F.col(at) + F.expr(f"INTERVAL {after}")).alias(at), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns])
+    last.coalesce(1).write.mode("append").parquet(folder)
+    # A file source takes files by their time: the parts in order of their numbers, the closing row last.
+    for n, name in enumerate(parts + [x for x in listed() if x not in parts]):
+        fs.setTimes(hadoop.Path(f"{folder}/{name}"), 1_700_000_000_000 + 60_000 * n, -1)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def first_deliveries(stream: DataFrame, key: str, at: str, delay: str = "1 hour") -> DataFrame:
     """Each key once within the watermark, however often it is delivered."""
     return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
@@ -50,29 +73,27 @@ def lease_sessions(stream: DataFrame, attempt: str, at: str, timeout: str = "60
     return out.select(attempt, F.col("s.start").alias("claimed_at"), F.col("s.end").alias("expired_at"), "beats", "last_beat")
 
 
-def run_available(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
-    """Drains a stream into Parquet and reads it back. In 'complete' mode the last batch stands."""
+def run_available(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """Drains a stream into Parquet and reads it back."""
     spark = stream.sparkSession
     folder = folder or work_folder(spark)
-    out = f"{folder}/out"
-    stream_schema = stream.schema
-    if mode == "complete":
-        writer = stream.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
-    else:
-        writer = stream.writeStream.outputMode(mode).format("parquet").option("path", out)
-    writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream_schema).parquet(out)
+    writer = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
 def upsert_stream(stream: DataFrame, path: str, key: str, order: str, checkpoint: str) -> None:
     """Keeps the latest row of every key in a table of generations; a batch that is replayed changes nothing.
 
-    Each batch writes a new generation ``path/g=<batch>`` from the one before, so readers never see half a table.
+    Each batch writes a new generation ``path/g=<batch>`` from the one before, so readers never see half a table. The
+    last two generations stay: a replayed batch needs the one before its own.
     """
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
         old = spark.read.parquet(f"{path}/g={number - 1}") if number else batch.limit(0)
         upsert(old, batch, key, order).write.mode("overwrite").parquet(f"{path}/g={number}")
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/g={number - 2}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -135,6 +135,8 @@ def test_files(spark, tmp_path):
     out.write_manifest(manifest, str(tmp_path / "m"))
     back = src.manifest(spark, str(tmp_path / "m" / "manifest.json")).first()
     assert (back.source_id, back.quality_status, back.word_count, back.title) == ("x", "GOOD", 5, None)
+    (tmp_path / "array.json").write_text('[\n {"source_id": "x", "word_count": 1},\n {"source_id": "y", "word_count": 2, "other": 3},\n {"source_id": "x", "word_count": 9}\n]')
+    assert {(r.source_id, r.word_count) for r in src.manifest(spark, str(tmp_path / "array.json")).collect()} == {("x", 9), ("y", 2)}
     page = spark.createDataFrame([("p", "see /watch?v=aaa and v=bbb v=aaa")], "page string, text string")
     assert [tuple(r) for r in V.found_in_page(page, "page", "text", r"v=(\w+)", 500).collect()] == [("p", 1, "aaa"), ("p", 2, "bbb")]
 
@@ -149,7 +151,8 @@ def test_streams(spark, tmp_path):
     sums = S.run_available(S.windowed_metrics(closed, "ts", "metric", "value", "10 seconds", delay="2 seconds"), str(tmp_path / "w2"))
     assert sorted(r.total for r in sums.collect()) == [45, 145]
     late = df.withColumn("ts", F.when(F.col("value") == 3, F.col("ts")).otherwise(F.col("ts") + F.expr("INTERVAL 1 HOUR"))).orderBy("ts")
-    late.filter("value <> 3").coalesce(1).write.parquet(str(tmp_path / "late" / "a"))
+    late.filter("value <> 3 AND value < 15").coalesce(1).write.parquet(str(tmp_path / "late" / "a"))
+    late.filter("value >= 15").coalesce(1).write.parquet(str(tmp_path / "late" / "a2"))
     late.filter("value = 3 OR value = 19").withColumn("ts", F.when(F.col("value") == 3, F.col("ts")).otherwise(F.col("ts") + F.expr("INTERVAL 1 DAY"))).coalesce(1).write.parquet(str(tmp_path / "late" / "b"))
     both = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "late"))
     sums = S.run_available(S.windowed_metrics(both, "ts", "metric", "value", "10 seconds", delay="2 seconds"), str(tmp_path / "w3"))

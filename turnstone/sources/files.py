@@ -36,12 +36,17 @@ PREFIX = 16_384
 @F.arrow_udf(T.BinaryType())
 def _beginnings(paths: pa.Array) -> pa.Array:
     """The first bytes of files, read on the executors; null for a file that cannot be read."""
+    from urllib.parse import quote
+
     from pyarrow import fs
 
     out = []
     for path in paths.to_pylist():
         try:
-            system, inner = fs.FileSystem.from_uri(path)
+            if path.startswith(("file:", "/")):
+                system, inner = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+            else:
+                system, inner = fs.FileSystem.from_uri(quote(path, safe=":/@"))
             with system.open_input_file(inner) as f:
                 out.append(f.read(PREFIX))
         except OSError:
@@ -85,7 +90,9 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
     Of several rows of one source the last counts.
     """
-    rows = spark.read.schema(MANIFEST).json(path, multiLine=True, mode="PERMISSIVE").withColumn("__at", F.monotonically_increasing_id())
+    first = spark.read.text(path).filter("trim(value) <> ''").first()
+    whole = first is not None and first["value"].lstrip().startswith("[")
+    rows = spark.read.schema(MANIFEST).json(path, multiLine=whole, mode="PERMISSIVE").withColumn("__at", F.monotonically_increasing_id())
     rows = ranked_pick(rows, "source_id", -F.col("__at")).drop("__at")
     return rows.withColumn("quality_status", F.coalesce("quality_status", "quality")).drop("quality")
 

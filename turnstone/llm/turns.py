@@ -179,7 +179,8 @@ def spoken_stretches(segments: DataFrame, roster: DataFrame, pauses: DataFrame |
     about = about.withColumn("r_part", F.explode(F.sequence(F.lit(0), _parts_of("r_source", hot) - 1)))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("seg_id", "start"), _parts_of("source_id", hot)).cast("int"))
     rows = rows.join(about, (F.col("source_id") == F.col("r_source")) & (F.col("part") == F.col("r_part")), "left")
-    rows = rows.withColumn("stretch", _read("text", "speaker", "roster"))
+    # Not taken for deterministic, so that the planner does not evaluate it again for filters on its result.
+    rows = rows.withColumn("stretch", _read.asNondeterministic()("text", "speaker", "roster"))
     rows = rows.select("source_id", "seg_id", "start", "end", "pause", F.posexplode("stretch").alias("pos", "s"))
     return rows.select("source_id", "seg_id", "start", "end", "pause", "pos", "s.speaker_id", "s.said")
 

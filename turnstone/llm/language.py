@@ -322,4 +322,5 @@ def detect(df: DataFrame, item_id: str, text: str, model: Model) -> DataFrame:
     def judge(texts: pa.Array) -> pa.Array:
         return pa.array([describe(t, shared.value) for t in texts.to_pylist()], _ARROW)
 
-    return df.select(F.col(f"`{item_id}`"), judge(F.col(f"`{text}`")).alias("d"))
+    # Not taken for deterministic, so that the planner does not evaluate it again for filters on its result.
+    return df.select(F.col(f"`{item_id}`"), judge.asNondeterministic()(F.col(f"`{text}`")).alias("d"))

@@ -127,7 +127,8 @@ def split_items(df: DataFrame, item_id: str = "chunk_id", text: str = "text", st
     )
     items = items.groupBy("i", "c").agg(F.max(F.struct("x", "a", "b")).alias("r")).select("i", "r.*")
     timed = F.col("a").isNotNull() & F.col("b").isNotNull() & ~F.isnan("a") & ~F.isnan("b") & (F.col("b") >= F.col("a"))
-    rows = items.withColumn("r", pieces("x")).select("i", "a", "b", "r.n_words", "r.cut", F.explode("r.pieces").alias("p"))
+    # Not taken for deterministic, so that the planner does not evaluate it again for filters on its result.
+    rows = items.withColumn("r", pieces.asNondeterministic()("x")).select("i", "a", "b", "r.n_words", "r.cut", F.explode("r.pieces").alias("p"))
     at = lambda share: F.when(timed, F.round(F.col("a") + (F.col("b") - F.col("a")) * F.col(share), 3))
     return rows.select(
         F.col("i").alias(item_id), "n_words", "cut", "p.piece", "p.text", "p.first_word", F.col("p.n_words").alias("piece_words"), "p.overlap", "p.forced", at("p.share_from").alias(start), at("p.share_to").alias(end)

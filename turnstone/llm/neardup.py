@@ -145,7 +145,8 @@ def _key(like: Likeness):
             out.append(xxhash.xxh128_digest(whole) if enough else None)
         return pa.array(out, pa.binary())
 
-    return key
+    # Not taken for deterministic, so that the planner does not evaluate it again for filters on its result.
+    return key.asNondeterministic()
 
 
 def _grams(like: Likeness):
@@ -181,7 +182,7 @@ def meetings(sets: DataFrame, most: int = MEASURED) -> dict[int, float]:
     def sign(grams: pa.Array) -> pa.Array:
         return pa.array([nested_hashes(g, most) for g in _sets_of(grams)], pa.list_(pa.int64()))
 
-    met = sets.select(F.posexplode(sign("grams")).alias("r", "h")).groupBy("r", "h").count().filter("count > 1")
+    met = sets.select(sign.asNondeterministic()("grams").alias("s")).select(F.posexplode("s").alias("r", "h")).groupBy("r", "h").count().filter("count > 1")
     found = met.groupBy("r").agg(F.sum(F.expr("count * (count - 1D) / 2")).alias("pairs")).collect()  # at most one row for each number of rows
     return {r: 0.0 for r in range(1, most + 1)} | {x["r"] + 1: float(x["pairs"]) for x in found}
 
@@ -228,7 +229,7 @@ def links(sets: DataFrame, like: Likeness) -> DataFrame:
         signs = [band_hashes(g, bands, rows) for g in _sets_of(grams)]
         return pa.ListArray.from_arrays(pa.array(np.arange(len(signs) + 1) * bands, pa.int32()), pa.array(np.concatenate([*signs, np.empty(0, np.int64)])))
 
-    band = sets.select("rep", "n", F.explode(sign("grams")).alias("h"))
+    band = sets.select("rep", "n", sign.asNondeterministic()("grams").alias("s")).select("rep", "n", F.explode("s").alias("h"))
     near = f"least(a_n, b_n) >= greatest(a_n, b_n) * {like.threshold!r}D"
     pairs = pairs_within(band, "h", "rep", ["n"], near).select("a", "b").distinct()
     left = sets.select(F.col("rep").alias("a"), F.col("grams").alias("ga")).hint("merge")

@@ -1,8 +1,13 @@
 import itertools
 import random
+from pathlib import Path
+
+import numpy as np
+import pyarrow as pa
 
 from turnstone.llm import neardup
 from turnstone.llm.neardup import Likeness, all_pairs, choose_bands, groups, near_duplicates, ngram_hashes, plain_words
+from turnstone.session import cut_lineage, shared_folder
 
 S = "id bigint, text string, rep string, grams int"
 
@@ -119,3 +124,77 @@ def test_recall_at_the_threshold(spark):
     members, found = near_duplicates(spark.createDataFrame(rows, S), "id", "text", like)
     got = {(x.id_a, x.id_b) for x in all_pairs(members, found).collect()}
     assert got <= want and len(got) >= 0.99 * len(want) > 100
+
+
+def on_disk(spark):
+    """Bytes of the shuffle files and of the shared folder."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    total = 0
+    while files.hasNext():
+        total += files.next().length()
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    return total + sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+
+
+def test_disk_stays_below_four_times_the_texts(spark, tmp_path, monkeypatch):
+    """n-gram sets are not written, and what a step moved is gone before the next one."""
+    r, rows = random.Random(3), []
+    for i in range(1500):
+        base = [f"{r.choice('abcdefgh')}{r.randrange(900)}" for _ in range(160)]
+        rows += [(3 * i + k, " ".join(edited(r, base, 4 * k)), "", 1) for k in range(2)]
+    spark.createDataFrame(rows, S).coalesce(1).write.parquet(str(tmp_path / "texts"))
+    size = sum(p.stat().st_size for p in (tmp_path / "texts").glob("*.parquet"))
+    before, seen = on_disk(spark), []
+
+    def cut(*args):
+        out = cut_lineage(*args)
+        seen.append(on_disk(spark) - before)
+        return out
+
+    monkeypatch.setattr(neardup, "cut_lineage", cut)
+    members, found = near_duplicates(spark.read.parquet(str(tmp_path / "texts")), "id", "text", Likeness("word", 3, 0.5, min_words=20))
+    seen.append(on_disk(spark) - before)
+    found.collect()
+    seen.append(on_disk(spark) - before)
+    assert max(seen) < 4 * size and seen[-1] < 0.5 * size and found.count() > 1000
+
+
+def test_bitmaps_never_promise_more_likeness_than_there_is():
+    r, pairs = random.Random(4), []
+    for n, more, apart in ((40, 0, 0), (40, 5, 9), (300, 40, 0), (5, 700, 3), (1, 0, 1), (900, 90, 1000)):
+        for _ in range(20):
+            x, y, z = (np.array([r.getrandbits(64) for _ in range(k)], np.uint64) for k in (n, more, apart))
+            pairs.append((np.concatenate([x, y]), np.concatenate([x, z]), more + apart))
+    columns = [pa.array([None, *(neardup.bitmap(p[k]) for p in pairs)], pa.binary())[1:] for k in (0, 1)]
+    got = neardup.least_apart(*columns).tolist()
+    assert all(g <= p[2] for g, p in zip(got, pairs)) and sum(got) > 0.3 * sum(p[2] for p in pairs)
+    assert neardup.least_apart(pa.array([], pa.binary()), pa.array([], pa.binary())).tolist() == []
+
+
+def test_different_texts_of_one_id_count_once(spark):
+    """They made the id a representative twice, and its pairs came out twice."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(base), "", 1), (1, " ".join([*base, "end"]), "", 1), (2, " ".join([*base, "other", "end"]), "", 1)]
+    members, found = near_duplicates(spark.createDataFrame(rows, S), "id", "text", Likeness("word", 3, 0.5))
+    assert [(r.id_a, r.id_b) for r in all_pairs(members, found).collect()] == [(1, 2)] and members.count() == 2
+
+
+def test_bands_are_paired_in_slices(spark, monkeypatch):
+    """Band rows lie on the disk one slice at a time; pairs are the same, and none comes twice."""
+    rows, like = corpus(9), Likeness("word", 3, 0.5, min_words=20)
+    monkeypatch.setattr(neardup, "SLICE", 10_000)
+    monkeypatch.setattr(neardup, "SLICE_SHARE", 0)
+    assert len(neardup.slices(97, 100, 0)) > 10 and neardup.slices(97, 100, 0)[-1][1] == 97
+    members, found = near_duplicates(spark.createDataFrame(rows, S), "id", "text", like)
+    got = [(r.id_a, r.id_b) for r in all_pairs(members, found).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, like)
+
+
+def test_sets_of_many_texts_at_a_time(monkeypatch):
+    monkeypatch.setattr(neardup, "STRETCH", 50)
+    texts = ["a b c d a b c", "", "a", "é ü ß " * 30, "x y", "a b c d", "\U00020000 b c"]
+    for like in (Likeness("word", 3), Likeness("char", 4)):
+        got = [g.tolist() for g in neardup.sets_of([t.strip() for t in texts], like)]
+        assert got == [ngram_hashes(t.split(), like.unit, like.n).tolist() for t in texts]
+    sets = [ngram_hashes(t.split(), "word", 1) for t in texts if t]
+    assert (neardup.band_slice(sets, 20, 3, 7, 12) == np.array([neardup.band_hashes(g, 20, 3)[7:12] for g in sets])).all()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,18 +60,45 @@ _TEMPORARY: dict[str, str] = {}
 _FOLDERS: set[str] = set()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a table into the shared folder and go on from there.
 
     Executors that are lost later cost nothing but a new read. As the table is in files, its real size is known to the
-    planner, and later reads take only the columns they need.
+    planner, and later reads take only the columns they need. Its path is added to ``scratch``, for ``release``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, scratch: list[str]) -> None:
+    """Delete the tables that ``cut_lineage`` added to ``scratch``; nothing may read them any more."""
+    for name in scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    scratch.clear()
+
+
+def bytes_of(df: DataFrame) -> int:
+    """The planner's estimate, which for a table of ``cut_lineage`` is the size of its files; nothing is executed."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of a query go when the query ends, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
 def spread(df: DataFrame, bytes_per_core: int | None = None) -> DataFrame:
     """``df`` dealt out to all cores if it is small, else as it is.
 
@@ -83,7 +112,7 @@ def spread(df: DataFrame, bytes_per_core: int | None = None) -> DataFrame:
     if not bytes_per_core:
         return df
     cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = bytes_of(df)
     return df.repartition(cores) if size < cores * bytes_per_core else df
 
 
